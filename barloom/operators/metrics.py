@@ -22,3 +22,16 @@ def stock_reliability(evaluation):
         hits().alias("direction_accuracy"))
     total = sum((F.col(f"mape_{c}") for c in PRICES), F.lit(0.0))
     return df.withColumn("mape", total / len(PRICES))
+
+
+def error_summary(df, groups=()):
+    """Sample count, MAPE of every field, mean of the four prices, direction accuracy."""
+    out = df.groupBy(*groups).agg(
+        F.count("*").alias("samples"), *[mape(f"ape_{c}").alias(f"{c}_mape") for c in PRICES + ("volume",)],
+        hits().alias("direction_accuracy"))
+    total = sum((F.col(f"{c}_mape") for c in PRICES), F.lit(0.0))
+    return out.withColumn("overall_mape", total / len(PRICES))
+
+
+def daily_metrics(evaluation):
+    return error_summary(evaluation, ["market_date"])

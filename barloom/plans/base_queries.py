@@ -17,31 +17,3 @@ def _(t):
     return S.rounded(t.features)
 
 
-@query("candidates_t", sql="SELECT * FROM candidates")
-def _(t):
-    return t.candidates
-
-
-HE = "pred_close actual_close prediction_confidence diff ape expected_return actual_return"
-
-
-@query("horev", sql=f"SELECT evaluated_date,symbol,prediction_date,horizon_days,price_bucket,direction_correct,{cols(HE)} FROM horizon_evaluation")
-def _(t):
-    return S.rounded(t.horizon_evaluation)
-
-
-CD = "decision_score confidence expected_return prediction_uncertainty technical_score entry_price predicted_close actual_open actual_high actual_low actual_close return_pct mfe_pct mae_pct direction_correct"
-
-
-@query("closed_t", sql=f"SELECT prediction_id,prediction_date,evaluation_date,symbol,price_bucket,action,outcome,{cols(CD)} FROM closed")
-def _(t):
-    return S.rounded(t.closed_decisions)
-
-
-EV = " ".join([f"{p}_{c}" for p in ("pred", "actual", "diff", "ape") for c in ("open", "high", "low", "close", "volume")]
-              + ["previous_close", "prediction_confidence", "prediction_uncertainty_pct"])
-
-
-@query("evaluation_t", sql=f"SELECT prediction_id,market_date,prediction_date,symbol,price_bucket,pred_direction,actual_direction,direction_correct,{cols(EV)} FROM evaluation")
-def _(t):
-    return S.rounded(t.evaluation)

@@ -35,3 +35,23 @@ def error_summary(df, groups=()):
 
 def daily_metrics(evaluation):
     return error_summary(evaluation, ["market_date"])
+
+
+def with_net_returns(evaluation, cost=K.COST_PCT):
+    """Cost-adjusted return of following the predicted direction, and of holding."""
+    priced = evaluation.where((F.col("actual_close") > 0) & (F.col("previous_close") > 0) & F.col("pred_close").isNotNull())
+    gross = (F.col("pred_close") / F.col("previous_close") - 1) * 100
+    realized = (F.col("actual_close") / F.col("previous_close") - 1) * 100
+    df = priced.withColumns({"ai_gross_return_pct": gross, "realized_return_pct": realized})
+    df = df.withColumns({
+        "ai_net_return_pct": F.signum("ai_gross_return_pct") * F.col("realized_return_pct") - cost,
+        "baseline_net_return_pct": F.col("realized_return_pct") - cost})
+    return df.withColumn("ai_outperforms", F.col("ai_net_return_pct") > F.col("baseline_net_return_pct"))
+
+
+def with_equity(df, returns, leverage=1.0, key="symbol", order="market_date"):
+    """Compounded equity, its running peak and the drawdown in percent."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("equity", F.product(1 + F.col(returns) * leverage / 100).over(w))
+    df = df.withColumn("peak", F.max("equity").over(w))
+    return df.withColumn("drawdown_pct", (S.ratio("equity", "peak") - 1) * 100)

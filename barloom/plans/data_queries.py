@@ -15,6 +15,11 @@ r4 = lambda df: S.rounded(df, 4)
 
 
 # -- sources ------------------------------------------------------------------
+@query("bars", f"SELECT {BAR} FROM bars")
+def _(t):
+    return r4(t.bars)
+
+
 @query("bars_range_scan", f"SELECT {BAR} FROM bars WHERE date BETWEEN DATE '1996-03-15' AND DATE '1997-02-10'")
 def _(t):
     return r4(B.range_scan(B.with_month(t.bars), "1996-03-15", "1997-02-10"))

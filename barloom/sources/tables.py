@@ -38,8 +38,8 @@ def load_holdings(df, name_table):
     have = {_plain(c): c for c in df.columns}
     found = {k: next((have[_plain(h)] for h in names if _plain(h) in have), None)
              for k, names in HOLDING_HEADERS.items()}
-    number = lambda k: S.text_number(F.col(found[k]).cast("string")) if found[k] else F.lit(None).cast("double")
-    out = df.select(F.trim(F.col(found["stock"])).alias("_n"),
+    number = lambda k: S.text_number(F.col(f"`{found[k]}`").cast("string")) if found[k] else F.lit(None).cast("double")
+    out = df.select(F.trim(F.col(f"`{found['stock']}`")).alias("_n"),
                     F.coalesce(number("quantity"), F.lit(0.0)).alias("quantity"),
                     *[number(k).alias(k) for k in ("average_price", "reported_pnl", "reported_return")])
     names = name_table.select(S.squeeze(F.upper("name")).alias("_k"), F.col("ticker").alias("_t")).dropDuplicates(["_k"])

@@ -91,13 +91,12 @@ def _(t):
 NET = "CAST(sign((pred_close/previous_close-1)*100) AS DOUBLE)*((actual_close/previous_close-1)*100)-0.3"
 
 
-@query("equity_curve", f"""SELECT symbol, market_date, {R('net', 4)} AS net_return_pct, {R("CASE WHEN z>0 THEN 0.0 WHEN neg%2=1 THEN -exp(s) ELSE exp(s) END", 3)} AS equity FROM
-  (SELECT *, sum(CASE WHEN f<>0 THEN ln(abs(f)) END) OVER w AS s, sum(CASE WHEN f<0 THEN 1 ELSE 0 END) OVER w AS neg, sum(CASE WHEN f=0 THEN 1 ELSE 0 END) OVER w AS z FROM
-   (SELECT symbol, market_date, {NET} AS net, 1+({NET})/100/50 AS f FROM evaluation) WINDOW w AS (PARTITION BY symbol ORDER BY market_date ROWS UNBOUNDED PRECEDING))""")
+@query("equity_curve", f"""SELECT symbol, market_date, {R('net', 4)} AS net_return_pct, printf('%.6e', product(1+net/100) OVER (PARTITION BY symbol ORDER BY market_date ROWS UNBOUNDED PRECEDING)) AS equity
+  FROM (SELECT symbol, market_date, {NET} AS net FROM evaluation)""")
 def _(t):
     x = A.with_net_returns(t.evaluation).select("symbol", "market_date", F.col("ai_net_return_pct").alias("net_return_pct"))
-    x = A.with_equity(x, "net_return_pct", leverage=1 / 50).drop("peak", "drawdown_pct")
-    return x.select("symbol", "market_date", S.steady("net_return_pct", 4).alias("net_return_pct"), S.steady("equity", 3).alias("equity"))
+    return A.with_equity(x, "net_return_pct").select("symbol", "market_date", S.steady("net_return_pct", 4).alias("net_return_pct"),
+                                                     F.format_string("%.6e", "equity").alias("equity"))
 
 
 @query("drawdown", f"""SELECT symbol, market_date, {R('max(equity) OVER w', 3)} AS peak, {R('(equity/max(equity) OVER w-1)*100', 3)} AS drawdown_pct FROM

@@ -145,13 +145,13 @@ def next_sessions(df, date, steps, calendar, name="target_date"):
     first = calendar.agg(F.min("date").alias("d")).first()["d"]
     last = calendar.agg(F.max("date").alias("d")).first()["d"]
     days = calendar.sparkSession.range(1).select(F.explode(F.sequence(
-        F.lit(first), F.lit(last))).alias("_d"))
-    upto = days.join(calendar, days["_d"] == calendar["date"], "left").select(
-        "_d", F.last("session", ignorenulls=True).over(
-            Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)).alias("_s"))
+        F.lit(first), F.lit(last))).alias("_cal_day"))
+    upto = days.join(calendar, days["_cal_day"] == calendar["date"], "left").select(
+        "_cal_day", F.last("session", ignorenulls=True).over(
+            Window.orderBy("_cal_day").rowsBetween(Window.unboundedPreceding, 0)).alias("_s"))
     target = calendar.select((F.col("session")).alias("_t"), F.col("date").alias(name))
-    return (df.join(upto, df[date] == upto["_d"], "left").withColumn("_t", F.col("_s") + steps)
-            .join(target, "_t", "left").drop("_d", "_s", "_t"))
+    return (df.join(upto, df[date] == upto["_cal_day"], "left").withColumn("_t", F.col("_s") + steps)
+            .join(target, "_t", "left").drop("_cal_day", "_s", "_t"))
 
 
 def _frame_errors(df, checks):

@@ -205,6 +205,45 @@ CTES["ipo"] = """SELECT '  '||p_name||'   '||p_brand||' '||p_partkey||' ' AS nam
   FROM (SELECT *, p_partkey AS k FROM part)"""
 
 
+_NN = "(" + "+".join(f"(CASE WHEN horizon_{h}d IS NOT NULL THEN 1 ELSE 0 END)" for h in H) + ")"
+_POS = "(" + "+".join(f"(CASE WHEN horizon_{h}d>0 THEN 1 ELSE 0 END)" for h in H) + ")"
+_NEG = "(" + "+".join(f"(CASE WHEN horizon_{h}d<0 THEN 1 ELSE 0 END)" for h in H) + ")"
+_FLAT = "(" + "+".join(f"(CASE WHEN abs(horizon_{h}d)<=1.5 THEN 1 ELSE 0 END)" for h in H) + ")"
+ALIGN = (f"CASE direction WHEN 'UP' THEN {clamp('50+25*expected_return')} WHEN 'DOWN' THEN {clamp('50-25*expected_return')} "
+         f"ELSE {clamp('100-20*abs(expected_return)')} END")
+CTES["scored0"] = f"""SELECT *, {ALIGN} AS direction_return_alignment,
+  CASE WHEN {_NN}=0 THEN 50.0::DOUBLE ELSE 100.0::DOUBLE*(CASE direction WHEN 'UP' THEN {_POS} WHEN 'DOWN' THEN {_NEG} ELSE {_FLAT} END)/{_NN} END AS horizon_alignment FROM candidates"""
+CTES["scored"] = f"""SELECT *, CASE WHEN trade_confidence>=75 THEN 'HIGH' WHEN trade_confidence>=60 THEN 'MEDIUM' ELSE 'LOW' END AS trade_quality FROM (SELECT *,
+  {clamp('0.25*confidence+0.15*direction_confidence+0.20*reliability_score+0.20*horizon_alignment+0.10*uncertainty_score+0.10*direction_return_alignment')} AS trade_confidence,
+  {clamp("0.20*technical_score+0.10*" + clamp('50+5*expected_return') + "+0.15*confidence+0.10*direction_confidence+0.10*reliability_score+0.10*(CASE direction WHEN 'UP' THEN 90.0 WHEN 'NEUTRAL' THEN 55.0 ELSE 35.0 END)+0.10*sector_score+0.10*" + clamp('50+4*multi_horizon_expected_return') + "+0.05*uncertainty_score")} AS score FROM scored0)"""
+CTES["vol20"] = """SELECT symbol, CASE WHEN count(r)>=5 THEN stddev_samp(r) END AS volatility_pct FROM
+  (SELECT symbol, (close/lag(close) OVER (PARTITION BY symbol ORDER BY date)-1)*100 AS r FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM bars) WHERE k<=21) GROUP BY symbol"""
+CTES["gaps"] = f"""SELECT symbol, {clamp('100-greatest(180-n,0)*0.25-least(greatest(expected-n,0)/CAST(greatest(expected,1) AS DOUBLE)*400,30)-least(stale*10,30)')} AS data_quality_score FROM
+  (SELECT symbol, count(*) AS n, date_diff('day',max(date),DATE '2001-12-31') AS stale, len(list_filter(generate_series(min(date)::TIMESTAMP,max(date)::TIMESTAMP,INTERVAL 1 DAY), lambda d: isodow(d)<6)) AS expected
+   FROM bars WHERE date<=DATE '2001-12-31' GROUP BY symbol)"""
+CTES["hrel"] = f"""SELECT symbol, {clamp('0.6*(100-least(12.5*m,100))+0.4*a')} AS horizon_reliability FROM
+  (SELECT symbol, avg(abs(ape)) AS m, avg(CASE WHEN direction_correct THEN 1.0 ELSE 0.0 END)*100 AS a FROM (SELECT * FROM horizon_evaluation WHERE horizon_days=1
+   QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY evaluated_date DESC, prediction_date DESC)<=60) GROUP BY 1)"""
+CTES["risky"] = f"""SELECT s.*, {clamp('0.75*score+0.10*85+0.15*uncertainty_score')} AS risk_adjusted_score, v.volatility_pct,
+  CASE WHEN v.volatility_pct IS NULL THEN 'UNKNOWN' WHEN v.volatility_pct<1 THEN 'LOW' WHEN v.volatility_pct>=3 THEN 'HIGH' ELSE 'MEDIUM' END AS volatility_bucket,
+  (SELECT (max(CASE WHEN k=1 THEN close END)/max(CASE WHEN k=6 THEN close END)-1)*100 FROM (SELECT *, row_number() OVER (ORDER BY date DESC) AS k FROM index_bars)) AS benchmark_return,
+  coalesce(g.data_quality_score,0.0) AS data_quality_score, coalesce({clamp('0.55*(100-least(15*r.mape,100))+0.45*r.direction_accuracy')},50.0) AS stock_reliability,
+  coalesce(h.horizon_reliability,50.0) AS horizon_reliability
+  FROM scored s LEFT JOIN vol20 v ON s.symbol=v.symbol LEFT JOIN gaps g ON s.symbol=g.symbol LEFT JOIN reliability r ON s.symbol=r.symbol LEFT JOIN hrel h ON s.symbol=h.symbol"""
+_HP = "100/(1+exp(least(greatest(({0}-expected_return)/greatest(abs(prediction_uncertainty_pct),0.5),-20),20)))"
+CTES["dec0"] = f"""SELECT *, (1-least(reliability_samples/50.0,1))*{clamp('confidence')}+least(reliability_samples/50.0,1)*{clamp('reliability_score')} AS calibrated_confidence,
+  expected_return/greatest(abs(coalesce(volatility_pct,3)),0.25) AS risk_adjusted_return, expected_return-0.6 AS net_expected_return, expected_return-benchmark_return AS benchmark_edge_pct,
+  {clamp('risk_adjusted_score*1.05')} AS regime_adjusted_score, {', '.join(_HP.format(k) + f' AS hit_prob_{k}' for k in (1, 2, 3, 5))}, 100-{_HP.format(-2)} AS downside_prob FROM risky"""
+CTES["dec1"] = f"""SELECT *, {clamp('0.19*regime_adjusted_score+0.14*calibrated_confidence+0.11*technical_score+0.10*' + clamp('50+5*net_expected_return') + '+0.10*' + clamp('50+4*multi_horizon_expected_return') + '+0.09*hit_prob_3+0.08*60+0.05*50+0.05*' + clamp('50+5*benchmark_edge_pct') + '+0.04*' + clamp('50+10*risk_adjusted_return') + '+0.03*stock_reliability+0.02*data_quality_score')} AS final_decision_score,
+  75.0+CASE volatility_bucket WHEN 'HIGH' THEN 4 WHEN 'LOW' THEN -2 ELSE 0 END+CASE WHEN stock_reliability<55 THEN 4 ELSE 0 END+CASE WHEN horizon_reliability<55 THEN 3 ELSE 0 END AS buy_level,
+  68.0+CASE volatility_bucket WHEN 'HIGH' THEN 3 WHEN 'LOW' THEN -1 ELSE 0 END+CASE WHEN stock_reliability<55 THEN 3 ELSE 0 END+CASE WHEN horizon_reliability<55 THEN 2 ELSE 0 END AS watch_level,
+  0.5+CASE WHEN volatility_bucket='HIGH' THEN 0.25 ELSE 0 END AS least_net FROM dec0"""
+CTES["final"] = """SELECT *, CASE WHEN prediction_uncertainty_pct>15 OR calibrated_confidence<45 OR data_quality_score<60 OR stock_reliability<30 OR horizon_reliability<30 OR final_decision_score<55
+   OR net_expected_return<least_net OR downside_prob>=75 THEN 'NO TRADE' WHEN final_decision_score>=buy_level AND direction='UP' AND benchmark_edge_pct>=-0.1 AND hit_prob_3>=50 THEN 'BUY'
+   WHEN final_decision_score>=watch_level AND direction='UP' AND hit_prob_3>=45 AND downside_prob<80 THEN 'WATCH' WHEN final_decision_score<=35 OR (direction='DOWN' AND final_decision_score<55) THEN 'AVOID' ELSE 'HOLD' END AS action,
+  prediction_uncertainty_pct>15 AS uncertainty_flag, CASE WHEN final_decision_score>=75 THEN 'LOW' WHEN final_decision_score>=55 THEN 'MEDIUM' ELSE 'HIGH' END AS final_risk FROM dec1"""
+
+
 def _needs(text, seen):
     for name in re.findall(r"\b(?:FROM|JOIN)\s+([a-z_0-9]+)", text):
         if name in CTES and name not in seen:

@@ -204,6 +204,34 @@ class Tables:
                     "uncertainty_score": S.steady(S.clamp(100 - 4 * S.clamp(u, 0, 25))),
                     "multi_horizon_expected_return": F.coalesce("horizon_1d", "expected_return")}))
 
+    @cached_property
+    def scored(self):
+        from barloom.functions.scoring import score_candidates
+        return score_candidates(self.candidates, "BULL")
+
+    @cached_property
+    def risky(self):
+        """Scored candidates with risk, benchmark, data quality and reliabilities."""
+        from barloom.functions.scoring import stock_reliability_score, with_market_risk
+        from barloom.operators import market as M, metrics as A
+        from barloom.operators.joins import with_context
+        gaps = M.data_gaps(self.bars, "2001-12-31")
+        quality = gaps.select("symbol", M.data_quality_score(
+            "history_rows", "missing_rate_pct", "stale_days", "anomaly_rate").alias("data_quality_score"))
+        stock = self.reliability.select("symbol", stock_reliability_score("mape", "direction_accuracy").alias("stock_reliability"))
+        near = A.horizon_reliability(self.horizon_evaluation.where("horizon_days = 1")).select("symbol", "horizon_reliability")
+        vol = M.trailing_volatility(self.bars).drop("returns")
+        df = with_market_risk(self.scored, "BULL")
+        for side in (vol, quality, stock, near):
+            df = df.join(side, "symbol", "left")
+        bench = M.recent_return(self.index_bars).select(F.col("benchmark_recent_return_5d").alias("benchmark_return"))
+        return with_context(df, bench).fillna({"data_quality_score": 0.0, "stock_reliability": 50.0, "horizon_reliability": 50.0})
+
+    @cached_property
+    def decided(self):
+        from barloom.functions.scoring import decide
+        return decide(self.risky, "BULL", breadth=60.0)
+
     # -- portfolio and listings ---------------------------------------------
     @cached_property
     def holdings(self):

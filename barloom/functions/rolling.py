@@ -4,71 +4,122 @@ Every window here runs over a frame that holds at most one row per symbol and
 session, so one symbol's rows are bounded by the calendar (about 260 a year),
 however many raw rows the symbol has. Raw rows are reduced by grouped
 aggregates with map-side combine before they get here.
+
+Moving frames (ROWS BETWEEN n PRECEDING ...) are re-added from scratch for every
+row, which costs n steps a row. ``with_rolling`` uses running sums instead: rows
+are numbered, cut into blocks, and a moving sum is the difference of two running
+sums inside a block plus, where it reaches back, the total of the block before.
+The cost per row does not depend on the window length, and because sums restart
+with every block their rounding error does not grow with the history.
 """
 from pyspark.sql import Window, functions as F
 
 from barloom.functions.scalars import col
 
-# rows per block of the exponential averages; decay**BLOCK is below the
+# rows per block; longer than any window, and decay**BLOCK is below the
 # precision of a double for spans up to 27
 BLOCK = 512
+MARKS = ("_pos", "_blk", "_off")
 
 
 def series(key="symbol", order="date"):
     return Window.partitionBy(key).orderBy(order)
 
 
-def trailing(n, key="symbol", order="date"):
-    return series(key, order).rowsBetween(-(n - 1), 0)
+def in_order(key="symbol"):
+    """Rows of a positioned frame in series order; shares the sort of its blocks."""
+    return Window.partitionBy(key).orderBy("_blk", "_off")
+
+
+def to_date_so_far(key="symbol"):
+    return in_order(key).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def to_date_so_far(key="symbol", order="date"):
-    return series(key, order).rowsBetween(Window.unboundedPreceding, 0)
+def positioned(df, key="symbol", order="date"):
+    """Number the rows of each series and cut them into blocks (no-op if done)."""
+    if "_pos" in df.columns:
+        return df
+    df = df.withColumn("_pos", F.row_number().over(series(key, order)) - 1)
+    return df.withColumns({"_blk": F.floor(F.col("_pos") / BLOCK).cast("int"),
+                           "_off": (F.col("_pos") % BLOCK).cast("int")})
 
 
 def rolling(fn, c, n, key="symbol", order="date"):
-    """Rolling aggregate that is null until ``n`` non-null values are present."""
-    w = trailing(n, key, order)
+    """Rolling aggregate by a moving frame, null until ``n`` non-null values are there.
+
+    For short series and short windows only; see ``with_rolling``.
+    """
+    w = series(key, order).rowsBetween(-(n - 1), 0)
     return F.when(F.count(col(c)).over(w) == n, fn(col(c)).over(w))
 
 
-def change_over(c, n, key="symbol", order="date"):
+def change_over(c, n, window=None):
     """Relative change against the value ``n`` rows earlier."""
     c = col(c)
-    return c / F.nullif(F.lag(c, n).over(series(key, order)), F.lit(0.0)) - 1
+    return c / F.nullif(F.lag(c, n).over(window or series()), F.lit(0.0)) - 1
+
 
+def with_rolling(df, rolls=None, emas=None, key="symbol", known=None):
+    """Rolling sums, means and sample deviations, and exponential averages.
 
-def with_ema(df, wanted, key="symbol", order="date"):
-    """Add exponential averages seeded with the first value.
+    ``rolls`` maps a new column to (kind, source column, n) with kind sum, avg or
+    std; the value is null until n non-null values are in the window. ``emas``
+    maps a new column to (source column, span), seeded with the first value. The
+    frame must be positioned. The plan is three window operators on one sort,
+    however many columns are asked for.
 
-    ``wanted`` maps the new column to (source column, span). The recursion
-    e[t] = d*e[t-1] + a*x[t] is a weighted running sum; weights are taken
-    relative to the start of a block of rows so that they neither overflow nor
-    need a fold over the whole history: each block is one running sum, plus the
-    decayed total of the block before it (older blocks weigh less than the last
-    bit of a double).
+    ``known`` tells, for a source that is null only in its first rows, how many
+    those are and whether it holds runs of zeros; other sources are counted.
     """
-    per_block = Window.partitionBy(key, "_blk")
-    running = per_block.orderBy("_off").rowsBetween(Window.unboundedPreceding, 0)
-    block_before = Window.partitionBy(key).orderBy("_blk").rangeBetween(-1, -1)
-
-    pos = F.row_number().over(series(key, order)) - 1
-    df = df.withColumn("_pos", pos)
-    df = df.withColumns({"_blk": F.floor(F.col("_pos") / BLOCK).cast("int"),
-                         "_off": (F.col("_pos") % BLOCK).cast("int")})
-    sums = {}
-    for name, (source, span) in wanted.items():
+    rolls, emas, known = rolls or {}, emas or {}, known or {}
+    lead = {c: known[c][0] if c in known else None for _, c, _ in rolls.values()}
+    zeros = {c: known[c][1] if c in known else True for c in lead}
+    running = f"(PARTITION BY {key}, _blk ORDER BY _off ROWS UNBOUNDED PRECEDING)"
+    block = f"(PARTITION BY {key}, _blk)"
+    ordered = f"(PARTITION BY {key} ORDER BY _blk, _off)"
+
+    # running quantities: s sum, q sum of squares, n non-null count, z non-zero count, e decayed sum
+    terms = {}
+    for kind, c, _ in rolls.values():
+        terms[f"s_{c}"] = f"coalesce({c}, 0D)"
+        if kind == "std":
+            terms[f"q_{c}"] = f"coalesce({c} * {c}, 0D)"
+        if lead[c] is None:
+            terms[f"n_{c}"] = f"int({c} IS NOT NULL)"
+        if zeros[c]:
+            terms[f"z_{c}"] = f"coalesce(int({c} <> 0), 0)"
+    for name, (c, span) in emas.items():
         a = 2.0 / (span + 1)
-        term = (F.when(F.col("_pos") == 0, 1.0).otherwise(a) * F.col(source)
-                * F.pow(F.lit(1 - a), -F.col("_off")))
-        sums[f"_run_{name}"] = F.sum(term).over(running)
-        sums[f"_tot_{name}"] = F.sum(term).over(per_block)
-    df = df.withColumns(sums)
-    df = df.withColumns({f"_car_{n}": F.first(f"_tot_{n}").over(block_before) for n in wanted})
-    out = {}
-    for name, (_, span) in wanted.items():
+        terms[f"e_{name}"] = f"if(_pos = 0, 1D, {a!r}D) * {c} * pow({1 - a!r}D, -_off)"
+    df = df.selectExpr("*", *[f"{e} AS _t_{k}" for k, e in terms.items()])
+    df = df.selectExpr("*", *[f"sum(_t_{k}) OVER {running} AS _p_{k}" for k in terms])
+    df = df.selectExpr("*", *[f"sum(_t_{k}) OVER {block} AS _b_{k}" for k in terms])
+
+    reach = sorted({(p, c, n) for _, c, n in rolls.values() for p in "sqnz" if f"{p}_{c}" in terms})
+    df = df.selectExpr(
+        "*", *[f"lag(_{w}_{p}_{c}, {n}) OVER {ordered} AS _{w}{n}_{p}_{c}" for p, c, n in reach for w in "pb"],
+        # the row one block earlier has the same offset in the block before
+        *[f"coalesce(lag(_b_e_{name}, {BLOCK}) OVER {ordered}, 0D) AS _c_{name}" for name in emas])
+    df = df.selectExpr("*", *[
+        f"_p_{p}_{c} - coalesce(_p{n}_{p}_{c}, 0) + if(_off < {n}, coalesce(_b{n}_{p}_{c}, 0), 0) AS _m{n}_{p}_{c}"
+        for p, c, n in reach])
+
+    out = []
+    for name, (kind, c, n) in rolls.items():
+        total = f"_m{n}_s_{c}"
+        if kind == "std":
+            spread = f"(_m{n}_q_{c} - {total} * {total} / {n})"
+            # below the rounding of the sums the values are all equal
+            noise = f"1e-13 * (_p_q_{c} + coalesce(_b{n}_q_{c}, 0D))"
+            value = f"sqrt(if({spread} > {noise}, {spread}, 0D) / {n - 1})"
+        else:
+            # a sum of nothing but zeros is exactly zero, not rounding residue
+            value = f"if(_m{n}_z_{c} = 0, 0D, {total})" if zeros[c] else total
+            value = f"{value} / {n}" if kind == "avg" else value
+        full = f"_m{n}_n_{c} = {n}" if lead[c] is None else f"_pos >= {n - 1 + lead[c]}"
+        out.append(f"if({full}, {value}, NULL) AS {name}")
+    for name, (_, span) in emas.items():
         d = 1 - 2.0 / (span + 1)
-        carry = F.coalesce(F.col(f"_car_{name}"), F.lit(0.0)) * F.lit(d ** BLOCK)
-        out[name] = F.pow(F.lit(d), F.col("_off")) * (F.col(f"_run_{name}") + carry)
-    df = df.withColumns(out)
-    return df.drop("_pos", "_blk", "_off", *[f"_{p}_{n}" for n in wanted for p in ("run", "tot", "car")])
+        out.append(f"pow({d!r}D, _off) * (_p_e_{name} + _c_{name} * {d ** BLOCK!r}D) AS {name}")
+    scratch = [c for c in df.columns if c[:3] in ("_t_", "_p_", "_b_", "_c_") or c[:2] in ("_m", "_p", "_b") and c[2:3].isdigit()]
+    return df.selectExpr("*", *out).drop(*scratch)

@@ -3,88 +3,119 @@ from pyspark.sql import functions as F
 
 from barloom import constants as K
 from barloom.functions import scalars as S
-from barloom.functions.rolling import (change_over, rolling, series, to_date_so_far, with_ema)
+from barloom.functions.rolling import (change_over, in_order, positioned, series, to_date_so_far, with_rolling)
+
+
+# name: (kind, source column, rows); sources with an underscore are made by _moves
+SMA = {f"sma{n}": ("avg", "close", n) for n in (10, 20, 50)}
+BANDS = {"bb_mid": ("avg", "close", 20), "_sd": ("std", "close", 20)}
+RSI = {"_gain": ("avg", "_up", 14), "_loss": ("avg", "_dn", 14)}
+ATR = {"atr14": ("avg", "_tr", 14)}
+MOVES = {"_trs": ("sum", "_tr", 14), "_pds": ("sum", "_pd", 14), "_mds": ("sum", "_md", 14)}
+SPREAD = {f"volatility{n}": ("std", "return1", n) for n in (10, 20)}
+VOLUME = {"_vma": ("avg", "volume", 20)}
+EMA = {"ema9": ("close", 9), "ema20": ("close", 20)}
+MACD = {"_fast": ("close", 12), "_slow": ("close", 26)}
+# sources: rows without a value at the start of a series, and whether zeros come in runs
+KNOWN = {"close": (0, False), "volume": (0, False), "return1": (1, False), "_tr": (0, False),
+         "_up": (1, True), "_dn": (1, True), "_pd": (0, True), "_md": (0, True)}
+RETURNS, LAGS = (1, 3, 5, 10, 20), (1, 2, 3, 5)
+
+
+def _moves(df):
+    """Session-to-session moves that the rolling features are made of."""
+    w = in_order()
+    c1, h1, l1 = (F.lag(c).over(w) for c in ("close", "high", "low"))
+    df = df.withColumns({"_c1": c1, "_h1": h1, "_l1": l1})
+    change, up, down = F.col("close") - F.col("_c1"), F.col("high") - F.col("_h1"), F.col("_l1") - F.col("low")
+    return df.withColumns({
+        "return1": F.col("close") / F.nullif(F.col("_c1"), F.lit(0.0)) - 1,
+        "_up": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))),
+        "_dn": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))),
+        "_tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_c1")), F.abs(F.col("low") - F.col("_c1"))),
+        "_pd": F.when((up > down) & (up > 0), up).otherwise(0.0),
+        "_md": F.when((down > up) & (down > 0), down).otherwise(0.0),
+        "_sv": F.coalesce(F.signum(change), F.lit(0.0)) * F.col("volume")})
+
+
+def _bands(df):
+    df = df.withColumns({"bb_upper": F.col("bb_mid") + 2 * F.col("_sd"), "bb_lower": F.col("bb_mid") - 2 * F.col("_sd")})
+    return df.withColumn("bb_position", S.ratio(F.col("close") - F.col("bb_lower"), F.col("bb_upper") - F.col("bb_lower")))
+
+
+def _rsi(df):
+    return df.withColumn("rsi14", F.when(F.col("_loss") > 0, 100 - 100 / (1 + F.col("_gain") / F.col("_loss")))
+                         .when(F.col("_gain") > 0, 100.0).when(F.col("_gain") == 0, 50.0))
+
 
+def _dx(df):
+    df = df.withColumns({"_pi": 100 * S.ratio("_pds", "_trs"), "_mi": 100 * S.ratio("_mds", "_trs")})
+    return df.withColumn("_dx", 100 * S.ratio(F.abs(F.col("_pi") - F.col("_mi")), F.col("_pi") + F.col("_mi")))
 
-def with_sma(df, spans=(10, 20, 50)):
-    return df.withColumns({f"sma{n}": rolling(F.avg, "close", n) for n in spans})
 
+def _tidy(df, bars, *columns):
+    """Result columns of a single operator next to those of its input."""
+    return df.select(*bars.columns, *columns)
 
-def with_macd(df):
-    df = with_ema(df, {"_fast": ("close", 12), "_slow": ("close", 26)})
-    df = df.withColumn("macd", F.col("_fast") - F.col("_slow"))
-    df = with_ema(df, {"macd_signal": ("macd", 9)})
-    return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("_fast", "_slow")
 
+def with_sma(bars):
+    return _tidy(with_rolling(positioned(bars), SMA, known=KNOWN), bars, *SMA)
 
-def with_rsi(df, n=14):
+
+def with_ema(bars):
+    return _tidy(with_rolling(positioned(bars), emas=EMA), bars, *EMA)
+
+
+def with_macd(bars):
+    df = with_rolling(positioned(bars), emas=MACD).withColumn("macd", F.col("_fast") - F.col("_slow"))
+    df = with_rolling(df, emas={"macd_signal": ("macd", 9)})
+    return _tidy(df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")), bars, "macd", "macd_signal", "macd_hist")
+
+
+def with_rsi(bars):
     """Relative strength from simple means of gains and losses."""
-    change = F.col("close") - F.lag("close").over(series())
-    df = df.withColumns({"_up": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))),
-                         "_dn": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0)))})
-    df = df.withColumns({"_gain": rolling(F.avg, "_up", n), "_loss": rolling(F.avg, "_dn", n)})
-    value = (F.when(F.col("_loss") > 0, 100 - 100 / (1 + S.ratio("_gain", "_loss")))
-             .when((F.col("_loss") == 0) & (F.col("_gain") == 0), 50.0)
-             .when(F.col("_loss") == 0, 100.0))
-    return df.withColumn(f"rsi{n}", value).drop("_up", "_dn", "_gain", "_loss")
-
-
-def true_range():
-    before = F.lag("close").over(series())
-    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before),
-                      F.abs(F.col("low") - before))
-
-
-def with_atr(df, n=14):
-    df = df.withColumn("_tr", true_range())
-    df = df.withColumn(f"atr{n}", rolling(F.avg, "_tr", n))
-    return df.withColumn("atr_pct", S.ratio(f"atr{n}", "close")).drop("_tr")
-
-
-def with_adx(df, n=14):
-    up = F.col("high") - F.lag("high").over(series())
-    down = F.lag("low").over(series()) - F.col("low")
-    df = df.withColumns({"_tr": true_range(), "_um": up, "_dm": down})
-    df = df.withColumns({
-        "_pd": F.when((F.col("_um") > F.col("_dm")) & (F.col("_um") > 0), F.col("_um")).otherwise(0.0),
-        "_md": F.when((F.col("_dm") > F.col("_um")) & (F.col("_dm") > 0), F.col("_dm")).otherwise(0.0)})
-    total = rolling(F.sum, "_tr", n)
-    df = df.withColumns({"_pi": 100 * S.ratio(rolling(F.sum, "_pd", n), total),
-                         "_mi": 100 * S.ratio(rolling(F.sum, "_md", n), total)})
-    df = df.withColumn("_dx", 100 * S.ratio(F.abs(F.col("_pi") - F.col("_mi")),
-                                            F.col("_pi") + F.col("_mi")))
-    return df.withColumn(f"adx{n}", rolling(F.avg, "_dx", n)).drop(
-        "_tr", "_um", "_dm", "_pd", "_md", "_pi", "_mi", "_dx")
-
-
-def with_bollinger(df, n=20, width=2.0):
-    df = df.withColumns({"bb_mid": rolling(F.avg, "close", n),
-                         "_sd": rolling(F.stddev_samp, "close", n)})
-    df = df.withColumns({"bb_upper": F.col("bb_mid") + width * F.col("_sd"),
-                         "bb_lower": F.col("bb_mid") - width * F.col("_sd")})
-    return df.withColumn("bb_position", S.ratio(
-        F.col("close") - F.col("bb_lower"), F.col("bb_upper") - F.col("bb_lower"))).drop("_sd")
-
-
-def with_returns(df, spans=(1, 3, 5, 10, 20), lags=(1, 2, 3, 5)):
-    df = df.withColumns({f"return{n}": change_over("close", n) for n in spans})
+    return _tidy(_rsi(with_rolling(_moves(positioned(bars)), RSI, known=KNOWN)), bars, "rsi14")
+
+
+def with_atr(bars):
+    df = with_rolling(_moves(positioned(bars)), ATR, known=KNOWN)
+    return _tidy(df.withColumn("atr_pct", S.ratio("atr14", "close")), bars, "atr14", "atr_pct")
+
+
+def with_adx(bars):
+    df = _dx(with_rolling(_moves(positioned(bars)), MOVES, known=KNOWN))
+    return _tidy(with_rolling(df, {"adx14": ("avg", "_dx", 14)}), bars, "adx14")
+
+
+def with_bollinger(bars):
+    return _tidy(_bands(with_rolling(positioned(bars), BANDS, known=KNOWN)), bars, "bb_mid", "bb_upper", "bb_lower", "bb_position")
+
+
+def _returns(df):
+    w = in_order()
     return df.withColumns({
-        **{f"close_lag{k}": F.lag("close", k).over(series()) for k in lags},
-        **{f"return_lag{k}": F.lag("return1", k).over(series()) for k in lags}})
+        **{f"return{n}": change_over("close", n, w) for n in RETURNS if n > 1},
+        **{f"close_lag{k}": F.lag("close", k).over(w) for k in LAGS},
+        **{f"return_lag{k}": F.lag("return1", k).over(w) for k in LAGS}})
+
+
+def with_returns(bars):
+    df = _returns(_moves(positioned(bars)))
+    return _tidy(df, bars, *[f"return{n}" for n in RETURNS], *[f"{p}_lag{k}" for p in ("close", "return") for k in LAGS])
 
 
-def with_volatility(df, spans=(10, 20)):
-    if "return1" not in df.columns:
-        df = df.withColumn("return1", change_over("close", 1))
-    return df.withColumns({f"volatility{n}": rolling(F.stddev_samp, "return1", n) for n in spans})
+def with_volatility(bars):
+    return _tidy(with_rolling(_moves(positioned(bars)), SPREAD, known=KNOWN), bars, *SPREAD)
 
 
-def with_volume_features(df):
-    move = F.coalesce(F.signum(F.col("close") - F.lag("close").over(series())), F.lit(0.0))
-    df = df.withColumns({"volume_ratio": S.ratio("volume", rolling(F.avg, "volume", 20)),
-                         "_sv": move * F.col("volume")})
+def _obv(df):
     df = df.withColumn("obv", F.sum("_sv").over(to_date_so_far()))
-    return df.withColumn("obv_change", change_over("obv", 10)).drop("_sv")
+    return df.withColumn("obv_change", change_over("obv", 10, in_order()))
+
+
+def with_volume_features(bars):
+    df = _obv(with_rolling(_moves(positioned(bars)), VOLUME, known=KNOWN))
+    return _tidy(df.withColumn("volume_ratio", S.ratio("volume", "_vma")), bars, "volume_ratio", "obv", "obv_change")
 
 
 def with_candle_shape(df):
@@ -99,21 +130,18 @@ def with_candle_shape(df):
 def feature_frame(bars):
     """Bars plus all derived features.
 
-    All steps use the same partitioning by symbol, so the plan has one exchange;
-    the exponential averages come last because they need their own sort.
+    One exchange by symbol and two sorts; every level of rolling sums is computed
+    for all features of that level together.
     """
     df = bars.select("symbol", "date", "open", "high", "low", "close", "volume")
-    for step in (with_sma, with_rsi, with_bollinger, with_atr, with_adx, with_returns,
-                 with_volatility, with_volume_features, with_candle_shape):
-        df = step(df)
-    df = with_ema(df, {"ema9": ("close", 9), "ema20": ("close", 20),
-                       "_fast": ("close", 12), "_slow": ("close", 26)})
-    df = df.withColumn("macd", F.col("_fast") - F.col("_slow"))
-    df = with_ema(df, {"macd_signal": ("macd", 9)})
-    df = df.withColumns({"macd_hist": F.col("macd") - F.col("macd_signal"),
-                         "close_vs_sma20": S.ratio("close", "sma20") - 1,
-                         "close_vs_sma50": S.ratio("close", "sma50") - 1,
-                         "ema9_vs_ema20": S.ratio("ema9", "ema20") - 1})
+    df = _returns(_moves(positioned(df)))
+    df = with_rolling(df, {**SMA, **BANDS, **RSI, **ATR, **MOVES, **SPREAD, **VOLUME}, {**EMA, **MACD}, known=KNOWN)
+    df = _obv(_dx(_rsi(_bands(df)))).withColumn("macd", F.col("_fast") - F.col("_slow"))
+    df = with_rolling(df, {"adx14": ("avg", "_dx", 14)}, {"macd_signal": ("macd", 9)})
+    df = with_candle_shape(df).withColumns({
+        "macd_hist": F.col("macd") - F.col("macd_signal"), "atr_pct": S.ratio("atr14", "close"),
+        "volume_ratio": S.ratio("volume", "_vma"), "close_vs_sma20": S.ratio("close", "sma20") - 1,
+        "close_vs_sma50": S.ratio("close", "sma50") - 1, "ema9_vs_ema20": S.ratio("ema9", "ema20") - 1})
     return df.select("symbol", "date", *K.FEATURES)
 
 

@@ -3,7 +3,7 @@ from pyspark.sql import Window, functions as F
 
 from barloom import constants as K
 from barloom.functions import scalars as S
-from barloom.functions.rolling import change_over, rolling, with_ema
+from barloom.functions.rolling import change_over, in_order, positioned, with_rolling
 
 
 def with_session_vwap(bars):
@@ -15,20 +15,14 @@ def with_session_vwap(bars):
 
 
 def intraday_features(bars):
-    df = with_session_vwap(bars)
-    whole_day = Window.partitionBy("symbol", "day")
+    w, whole_day = in_order(), Window.partitionBy("symbol", "day")
+    df = positioned(with_session_vwap(bars), order="ts")
     df = df.withColumns({
-        "volume_ma20": rolling(F.avg, "volume", 20, order="ts"), "return1": change_over_ts("close", 1),
-        "return4": change_over_ts("close", 4), "momentum": change_over_ts("close", 8),
-        "range_pct": S.ratio(F.col("high") - F.col("low"), "close"),
-        "day_high": F.max("high").over(whole_day), "day_low": F.min("low").over(whole_day)})
-    df = df.withColumn("relative_volume", S.ratio("volume", "volume_ma20"))
-    return with_ema(df, {"ema9": ("close", 9), "ema20": ("close", 20)}, order="ts")
-
-
-def change_over_ts(c, n):
-    w = Window.partitionBy("symbol").orderBy("ts")
-    return F.col(c) / F.nullif(F.lag(c, n).over(w), F.lit(0.0)) - 1
+        "return1": change_over("close", 1, w), "return4": change_over("close", 4, w), "momentum": change_over("close", 8, w),
+        "range_pct": S.ratio(F.col("high") - F.col("low"), "close")})
+    df = with_rolling(df, {"volume_ma20": ("avg", "volume", 20)}, {"ema9": ("close", 9), "ema20": ("close", 20)})
+    return df.withColumns({"relative_volume": S.ratio("volume", "volume_ma20"), "day_high": F.max("high").over(whole_day),
+                           "day_low": F.min("low").over(whole_day)}).drop("_pos", "_blk", "_off")
 
 
 def intraday_setups(features, min_rows=K.INTRADAY_MIN_ROWS):

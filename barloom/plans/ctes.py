@@ -54,8 +54,8 @@ def lead(c, n=1):
 TICK = ("(SELECT *, printf('S%06d',l_suppkey) AS symbol, CAST(l_shipdate AS DATE) AS date, "
         "l_extendedprice/nullif(l_quantity,0) AS price FROM lineitem)")
 SEQ = "l_orderkey,l_linenumber,l_partkey,l_extendedprice,l_quantity"
-FOLD = (f"first(price ORDER BY {SEQ}) AS open, max(price) AS high, min(price) AS low, "
-        f"last(price ORDER BY {SEQ}) AS close, sum(l_quantity) AS volume")
+FOLD = ("first(price ORDER BY l_orderkey,l_linenumber,price) AS open, max(price) AS high, min(price) AS low, "
+        "last(price ORDER BY l_orderkey,l_linenumber,price) AS close, sum(l_quantity) AS volume")
 
 CTES = {}
 CTES["bars"] = f"SELECT symbol, date, {FOLD} FROM {TICK} WHERE isodow(date)<6 GROUP BY symbol, date"

@@ -7,7 +7,7 @@ from barloom.operators import joins as J, ordering as O, quality as Q, upserts a
 from barloom.plans.ctes import OHLC, OHLCV, R, bucket, cols, div, label, lead
 from barloom.plans.registry import query
 from barloom.sources import barstore as B, tables as X
-from barloom.sources.bindings import HOLIDAYS
+from barloom.sources.bindings import HOLIDAYS, symbol_of
 
 BAR = "symbol, date, " + cols("open high low close volume", 4)
 HOL = "(" + ",".join(f"'{h}'" for h in HOLIDAYS) + ")"
@@ -35,7 +35,7 @@ def _(t):
 
 def _solvent(t):
     s = t.raw("supplier").where("s_acctbal >= 0")
-    return s.select(F.format_string("S%06d", "s_suppkey").alias("symbol"))
+    return s.select(symbol_of(F.col("s_suppkey")).alias("symbol"))
 
 
 @query("bars_read_with_fallback", f"""WITH p AS (SELECT * FROM bars WHERE date>=DATE '1996-01-01' AND symbol IN
@@ -66,7 +66,7 @@ def _(t):
 
 @query("universe_scan", "SELECT DISTINCT printf('S%06d',l_suppkey) AS symbol FROM lineitem")
 def _(t):
-    listed = t.ticks.select(F.concat(F.lit(" "), F.lower("symbol"), F.lit(".ns ")).alias("Ticker"))
+    listed = t.ticks.select(F.concat(F.lit(" "), F.lower(symbol_of(F.col("l_suppkey"))), F.lit(".ns ")).alias("Ticker"))
     return X.symbol_list(listed.unionByName(t.spark.range(1).select(F.lit("Symbol").alias("Ticker"))))
 
 
@@ -389,7 +389,7 @@ PROBE = "(SELECT o_orderkey, printf('S%06d', o_custkey%(SELECT count(*) FROM sup
 
 def _probe(t):
     n = t.raw("supplier").agg(F.count("*")).scalar()
-    return t.raw("orders").select("o_orderkey", F.format_string("S%06d", F.col("o_custkey") % n).alias("symbol"),
+    return t.raw("orders").select("o_orderkey", symbol_of(F.col("o_custkey") % n).alias("symbol"),
                                   F.to_date("o_orderdate").alias("d"))
 
 
@@ -477,5 +477,5 @@ def _(t):
 
 @query("ordered_distinct", "SELECT printf('S%06d',l_suppkey) AS symbol, min(l_orderkey) AS first_position FROM lineitem GROUP BY 1 ORDER BY 2, 1 LIMIT 60")
 def _(t):
-    x = t.ticks.select("symbol", F.col("seq.l_orderkey").alias("p"))
+    x = t.ticks.select(symbol_of(F.col("l_suppkey")).alias("symbol"), F.col("l_orderkey").alias("p"))
     return U.ordered_distinct(x, "symbol", "p").orderBy("first_position", "symbol").limit(60)

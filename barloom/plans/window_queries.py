@@ -17,6 +17,7 @@ def _panel(name, fn, names):
 
 
 _panel("sma", W.with_sma, "sma10 sma20 sma50")
+_panel("ema", W.with_ema, "ema9 ema20")
 _panel("macd", W.with_macd, "macd macd_signal macd_hist")
 _panel("rsi", W.with_rsi, "rsi14")
 _panel("atr", W.with_atr, "atr14 atr_pct")
@@ -28,12 +29,6 @@ _panel("volume_features", W.with_volume_features, "volume_ratio obv obv_change")
 _panel("candle_features", W.with_candle_shape, "high_low_range body_pct upper_wick lower_wick")
 
 
-@query("ema", f"SELECT symbol, date, {cols('ema9 ema20', 4)} FROM features")
-def _(t):
-    from barloom.functions.rolling import with_ema
-    return r4(with_ema(t.bars, {"ema9": ("close", 9), "ema20": ("close", 20)}).select("symbol", "date", "ema9", "ema20"))
-
-
 @query("feature_frame", f"SELECT symbol, date, {cols(FEATURES, 4)} FROM features")
 def _(t):
     return r4(t.features)

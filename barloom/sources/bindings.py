@@ -15,7 +15,17 @@ HOLIDAYS = ("1998-01-01", "1998-05-01", "1998-12-25", "1999-01-01")
 
 
 def symbol_of(number):
-    return F.format_string("S%06d", number)
+    digits = number.cast("string")
+    return F.concat(F.lit("S"), F.when(F.length(digits) < 6, F.lpad(digits, 6, "0")).otherwise(digits))
+
+
+def order_key(major, minor, width):
+    """One number that sorts by (major, minor); minor has at most ``width`` digits.
+
+    A decimal is a fixed-width aggregate buffer, so min_by and max_by over it stay
+    hash aggregates; a struct would force a sort of the raw rows.
+    """
+    return F.expr(f"cast({major} as decimal(20,0)) * {10 ** width}BD + cast({minor} as decimal({width},0))")
 
 
 class Tables:
@@ -32,15 +42,14 @@ class Tables:
     def ticks(self):
         """Priced rows of the source, one per trade."""
         return self.raw("lineitem").select(
-            symbol_of(F.col("l_suppkey")).alias("symbol"),
-            F.col("l_shipdate").cast("date").alias("date"),
+            "l_suppkey", "l_orderkey", F.col("l_shipdate").cast("date").alias("date"),
             S.ratio("l_extendedprice", "l_quantity").alias("price"),
-            F.col("l_quantity").alias("quantity"),
-            F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
-                     "l_quantity").alias("seq"))
+            F.col("l_quantity").alias("quantity"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"))
 
     def _fold(self, keys):
-        ticks = self.ticks.where(S.weekday("date") < 5)
+        # trades in order of (order, line, price); the key is reduced before it is made a text
+        ticks = self.ticks.where(S.weekday("date") < 5).withColumn(
+            "seq", order_key("line", "round(price * 10000)", 18))
         return ticks.groupBy(*keys).agg(
             F.min_by("price", "seq").alias("open"), F.max("price").alias("high"),
             F.min("price").alias("low"), F.max_by("price", "seq").alias("close"),
@@ -49,7 +58,8 @@ class Tables:
     @cached_property
     def bars(self):
         """Daily bars, one row per symbol and weekday (map-side combined)."""
-        return self._fold(["symbol", "date"])
+        folded = self._fold(["l_suppkey", "date"])
+        return folded.select(symbol_of(F.col("l_suppkey")).alias("symbol"), "date", "open", "high", "low", "close", "volume")
 
     @cached_property
     def index_bars(self):
@@ -84,7 +94,8 @@ class Tables:
         ev = self.raw("events").select(
             F.col("event_type").alias("symbol"),
             F.window("ts", "15 minutes").start.alias("ts"),
-            (F.col("value") + 1).alias("price"), F.struct("ts", "event_id").alias("seq"))
+            (F.col("value") + 1).alias("price"),
+            order_key("unix_micros(cast(ts as timestamp))", "event_id", 18).alias("seq"))
         return ev.groupBy("symbol", "ts").agg(
             F.min_by("price", "seq").alias("open"), F.max("price").alias("high"),
             F.min("price").alias("low"), F.max_by("price", "seq").alias("close"),

@@ -17,7 +17,9 @@ def steady(c, digits=6):
     boundary would flip between runs; the boundary is moved off the short
     decimals that prices and counts produce.
     """
-    return F.round(col(c) + 3.1 * 10 ** -(digits + 4), digits)
+    k = 10.0 ** digits
+    # adding zero turns a negative zero into a plain one
+    return F.rint((col(c) + 3.1 * 10 ** -(digits + 4)) * k) / k + F.lit(0.0)
 
 
 def rounded(df, digits=6, skip=()):

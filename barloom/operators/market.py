@@ -6,16 +6,14 @@ from barloom.functions import scalars as S
 from barloom.functions.rolling import change_over, rolling, series
 from barloom.operators.ordering import group_median, with_group_rank
 
-LATEST = Window.partitionBy("symbol").orderBy(F.desc("date"))
-
-
 def at_cutoff(bars, cutoff):
     return bars if cutoff is None else bars.where(F.col("date") <= F.lit(cutoff).cast("date"))
 
 
 def last_rows(bars, n, cutoff=None):
     """The last n bars of each symbol, numbered from the latest (1)."""
-    return at_cutoff(bars, cutoff).withColumn("_k", F.row_number().over(LATEST)).where(F.col("_k") <= n)
+    return at_cutoff(bars, cutoff).withColumn("_k", F.row_number().over(
+        Window.partitionBy("symbol").orderBy(F.desc("date")))).where(F.col("_k") <= n)
 
 
 def n_session_return(bars, n=20, cutoff=None, name="session_return"):

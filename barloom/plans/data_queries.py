@@ -193,19 +193,20 @@ def _flags(src, cutoff, min_rows):
       coalesce(bool_or(low>least(open,close)),false) AS lo, coalesce(bool_or(least(open,high,low,close)<=0),false) AS pos FROM {src} GROUP BY symbol)"""
 
 
-_joined = F.concat_ws("|", "errors").alias("errors")
+def _joined():
+    return F.concat_ws("|", "errors").alias("errors")
 
 
 @query("validate_bars", _flags("bars_raw", "1998-01-03", 500))
 def _(t):
     v = Q.validate_bars(Q.coerce_bars(t.bars_raw), t.universe, "1998-01-03", 500, HOLIDAYS)
-    return v.select("symbol", "rows", "data_date", _joined)
+    return v.select("symbol", "rows", "data_date", _joined())
 
 
 @query("validate_universe", f"""SELECT CASE WHEN errors='' THEN 'PASSED' ELSE 'FAILED' END AS verdict, symbol, errors FROM ({_flags("(SELECT * FROM raw_last WHERE date<=DATE '1998-01-02')", '1998-01-02', 150)})""")
 def _(t):
     v = Q.validate_bars(Q.canonicalize(t.bars_raw, "1998-01-02"), t.universe, "1998-01-02", 150, HOLIDAYS)
-    return v.select(F.when(F.size("errors") == 0, "PASSED").otherwise("FAILED").alias("verdict"), "symbol", _joined)
+    return v.select(F.when(F.size("errors") == 0, "PASSED").otherwise("FAILED").alias("verdict"), "symbol", _joined())
 
 
 @query("snapshot_status", f"""SELECT symbol, DATE '1996-07-05' AS requested_cutoff, data_date, rows, CASE WHEN errors='' THEN 'OK' ELSE 'INVALID' END AS status, errors

@@ -1,5 +1,5 @@
 """Technical features of daily bars: one shuffle by symbol, native windows only."""
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from barloom import constants as K
 from barloom.functions import scalars as S
@@ -192,13 +192,9 @@ def leakage_audit(frame, cutoff, horizon, features=K.FEATURES):
 
 def technical_score(features):
     """Score of each symbol from its latest complete feature row."""
-    complete = features.dropna()
-    wanted = ["rsi14", "macd_hist", "close_vs_sma20", "close_vs_sma50", "ema9_vs_ema20",
-              "volume_ratio", "adx14"]
-    latest = (complete.groupBy("symbol")
-              .agg(F.max("date").alias("date"),
-                   F.max_by(F.struct(*wanted), "date").alias("_f"))
-              .select("symbol", "date", "_f.*"))
+    # stays in the partitions of the feature frame: no further shuffle
+    newest = F.max("date").over(Window.partitionBy("symbol"))
+    latest = features.dropna().withColumn("_newest", newest).where("date = _newest")
     rsi, vr = F.col("rsi14"), F.col("volume_ratio")
     points = (
         F.when(rsi.between(50, 70), 10).when((rsi >= 45) & (rsi < 50), 4)

@@ -29,7 +29,7 @@ def intraday_setups(features, min_rows=K.INTRADAY_MIN_ROWS):
     """Setup of each symbol from its latest complete bar, with a status."""
     used = ["close", "vwap", "ema9", "ema20", "relative_volume", "momentum", "range_pct"]
     full = features.dropna()
-    last = full.groupBy("symbol").agg(F.count("*").alias("rows"), F.max_by(F.struct(*used), "ts").alias("_l")).select("symbol", "rows", "_l.*")
+    last = full.groupBy("symbol").agg(F.count("*").alias("rows"), *[F.max_by(c, "ts").alias(c) for c in used])
     rv, mo, rg, cl = (F.col(c) for c in ("relative_volume", "momentum", "range_pct", "close"))
     score = S.clamp(50.0 + F.when(cl > F.col("vwap"), 12).otherwise(-12) + F.when(F.col("ema9") > F.col("ema20"), 10).otherwise(-8)
                     + F.when(rv > 1.5, 12).when(rv > 1.1, 5).otherwise(0)

@@ -26,8 +26,7 @@ def latest_at(bars, cutoff=None, columns=FIELDS):
     if cutoff is not None:
         bars = bars.where(F.col("date") <= F.lit(cutoff).cast("date"))
     return (bars.groupBy("symbol")
-            .agg(F.max("date").alias("date"), F.max_by(F.struct(*columns), "date").alias("_b"))
-            .select("symbol", "date", "_b.*"))
+            .agg(F.max("date").alias("date"), *[F.max_by(c, "date").alias(c) for c in columns]))
 
 
 def asof_join(left, right, on, left_time, right_time, columns, strict=False):

@@ -179,9 +179,8 @@ class Tables:
     @cached_property
     def latest_predictions(self):
         """Latest prediction of each symbol."""
-        cols = [c for c in self.ledger.columns if c != "symbol"]
-        return (self.ledger.groupBy("symbol")
-                .agg(F.max_by(F.struct(*cols), "run_date").alias("p")).select("symbol", "p.*"))
+        newest = F.max("run_date").over(Window.partitionBy("symbol"))
+        return self.ledger.withColumn("_newest", newest).where("run_date = _newest").drop("_newest")
 
     @cached_property
     def features(self):

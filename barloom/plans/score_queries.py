@@ -253,7 +253,7 @@ def _(t):
     return T.cascade(t.scored).select("symbol", "selection_tier")
 
 
-@query("diversified_topn", f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY price_bucket ORDER BY {_RK}) AS k FROM scored WHERE price_bucket<>'OUT' AND prediction_uncertainty_pct<=10)
+@query("diversified_topn", f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY price_bucket ORDER BY {_RK}) AS k FROM scored WHERE price_bucket<>'OUT' AND (prediction_uncertainty_pct<=10 OR NOT EXISTS (SELECT 1 FROM scored WHERE price_bucket<>'OUT' AND prediction_uncertainty_pct<=10)))
   SELECT symbol, price_bucket, {R('score', 4)} AS score FROM p WHERE k<=6 ORDER BY CASE WHEN k=1 THEN 0 ELSE 1 END, CASE WHEN k=1 THEN price_bucket END, {_RK} LIMIT 10""")
 def _(t):
     return r4(T.diversified_top(t.scored).select("symbol", "price_bucket", "score"))

@@ -63,9 +63,9 @@ def write_dates_once(rows, date, sink, checkpoint):
     def apply(batch, batch_id):
         spark = batch.sparkSession
         fresh = batch
-        for earlier in range(batch_id):
-            seen = spark.read.parquet(f"{sink}/batch={earlier}").select(date).distinct()
-            fresh = fresh.join(seen, date, "left_anti")
+        if batch_id > 0:
+            earlier = spark.read.parquet(sink).where(F.col("batch") < batch_id)
+            fresh = fresh.join(earlier.select(date).distinct(), date, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     query = rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

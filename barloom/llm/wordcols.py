@@ -89,7 +89,7 @@ class Words:
         """Hash of all words of one document (by its index in the chunk)."""
         a, b = self.bounds[doc], self.bounds[doc + 1]
         power, _ = powers(WORD_BASE, max(1, b - a))
-        return mix((self.hash[a:b] * power[:b - a]).sum(dtype=U, keepdims=True), b - a)[0]
+        return mix((self.hash[a:b] * power[:b - a]).sum(dtype=U, keepdims=True), int(b - a))[0]
 
 
 def text_bytes(column):

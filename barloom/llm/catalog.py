@@ -1,3 +1,3 @@
 """All queries of the subpackage; importing the modules registers them."""
-from barloom.llm import queries_minhash, queries_substring  # noqa: F401
+from barloom.llm import queries_minhash, queries_rules, queries_substring  # noqa: F401
 from barloom.llm.registry import ORACLES, QUERIES  # noqa: F401

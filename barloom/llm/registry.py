@@ -3,7 +3,7 @@ QUERIES = {}
 ORACLES = {}
 
 #: DuckDB: words of a text; white space is space and \\t \\n \\v \\f \\r
-WORDS = r"list_filter(string_split_regex(coalesce({}, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+WORDS = r"[x FOR x IN string_split_regex(coalesce({}, ''), '[\x20\x09-\x0D]+') IF x <> '']"
 
 
 def query(name, sql=None):

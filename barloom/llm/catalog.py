@@ -1,3 +1,3 @@
 """All queries of the subpackage; importing the modules registers them."""
-from barloom.llm import queries_lines, queries_minhash, queries_packing, queries_rules, queries_sharding, queries_substring  # noqa: F401
+from barloom.llm import queries_lines, queries_minhash, queries_packing, queries_rules, queries_sharding, queries_substring, queries_tokens  # noqa: F401
 from barloom.llm.registry import ORACLES, QUERIES  # noqa: F401

@@ -1,3 +1,4 @@
 """All queries of the subpackage; importing the modules registers them."""
-from barloom.llm import queries_lines, queries_minhash, queries_packing, queries_rules, queries_search, queries_sharding, queries_substring, queries_tokens  # noqa: F401
+from barloom.llm import (  # noqa: F401
+    queries_lines, queries_minhash, queries_packing, queries_resampling, queries_rules, queries_search, queries_sharding, queries_substring, queries_tokens)
 from barloom.llm.registry import ORACLES, QUERIES  # noqa: F401

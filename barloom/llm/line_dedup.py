@@ -7,12 +7,14 @@ other with one word left out. Variants are emitted as hashed keys and each key i
 the earliest line, by aggregates with a map-side part, so a variant that thousands of lines
 share costs one row per task and never a pair of lines.
 
-Lines that cannot have a near line emit nothing: if two lines of 13 words or more are near,
-they agree in their first six or in their last six words and differ by one in length at most,
-so a longer line whose two ends occur nowhere else has no neighbour. That is a condition of
-the bound, not a sample. Keys are sums of word hashes by place (two of 40 bits), which prefix
-sums give for all variants of a line in one pass; the edit distance of every line found and
-its earliest neighbour is then verified on the words.
+Lines that cannot have a near line emit nothing: two near lines agree in the first or in the
+last half of their words, so a line whose halves occur in no other line has no neighbour. That
+is a condition of the bound, not a sample. Keys are hashes of two sums of word hashes by place,
+which prefix sums give for all variants of a line in one pass; the edit distance of every line
+found and its earliest neighbour is then verified on the words.
+
+The texts are the large part: they are dealt out by a hash of (id, text) once, for both the
+reading of candidate lines and the writing of the result.
 """
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -20,7 +22,6 @@ from pyspark.sql import functions as F
 from barloom.llm.staging import stored
 
 SPLIT = "[ \\t\\n\\x0B\\f\\r]+"
-END = 6  # words of an end
 MASK = (1 << 40) - 1
 
 
@@ -34,39 +35,43 @@ def _words(line):
     return F.array_remove(F.split(line, SPLIT), "")
 
 
-def _candidates(lines, near_words):
-    """Keys of the lines that may have a near line."""
-    long = lines.where(F.col("n") > 2 * END)
-    ends = long.select("h1", "h2", "n", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("head").alias("end")),
-                                                          F.struct(F.lit(1).alias("side"), F.col("tail").alias("end")))).alias("e")).select("h1", "h2", "n", "e.*")
-    common = ends.groupBy("side", "end").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    ends = ends.join(common, ["side", "end"])
-    sizes = ends.select("side", "end", F.explode(F.array(F.col("n") - 1, F.col("n"), F.col("n") + 1)).alias("n"))
-    sizes = sizes.groupBy("side", "end", "n").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    met = ends.where(F.col("n") > 2 * END + 1).join(sizes, ["side", "end", "n"]).select("h1", "h2").distinct()
-    short = lines.where(F.col("n").between(near_words, 2 * END + 1)).select("h1", "h2")
-    return met.union(short)
+def _halves(words, n):
+    """Keys of the first and the last half, for n and, as a longer partner, for n - 1 words."""
+    def key(side, h):
+        return F.xxhash64(F.lit(side), h, F.slice(words, 1, h) if side == 0 else F.slice(words, -h, h))
+
+    half = F.floor(n / 2).cast("int")
+    return F.when(n % 2 == 1, F.array(key(0, half), key(1, half))).otherwise(
+        F.array(key(0, half), key(1, half), key(0, half - 1), key(1, half - 1)))
+
+
+def _candidates(lines):
+    """(h1) of the lines that may have a near line."""
+    ends = lines.where("ends is not null").select("h1", F.explode("ends").alias("end"))
+    common = ends.groupBy("end").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("end")
+    return ends.join(common, "end").select("h1").distinct()
 
 
 def _neighbours(held):
-    """(ord, partner): the earliest line that is earlier and shares a variant, from (ord, n, w)."""
+    """(ord, partner): the earliest line that is earlier and shares a variant, from (ord, n, w) dealt by ord."""
     at = held.select("ord", "n", F.posexplode("w").alias("j", "word"))
-    cols = {f"{x}{k}": F.xxhash64("word", F.col("j") - back, F.lit(k)).bitwiseAND(MASK) for k in (1, 2) for x, back in (("a", 0), ("b", 1))}
-    at = at.select("ord", "n", "j", *[v.alias(k) for k, v in cols.items()])
+    at = at.select("ord", "n", "j", *[F.xxhash64("word", F.col("j") - back, F.lit(k)).bitwiseAND(MASK).alias(f"{x}{k}")
+                                      for k in (1, 2) for x, back in (("a", 0), ("b", 1))])
     line = Window.partitionBy("ord")
     upto = line.orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    left = at.select("ord", "n", "j", *[(F.sum(f"a{k}").over(upto) - F.col(f"a{k}") + F.sum(f"b{k}").over(line) - F.sum(f"b{k}").over(upto)).alias(f"v{k}") for k in (1, 2)])
-    whole = at.groupBy("ord").agg(F.sum("a1").alias("v1"), F.sum("a2").alias("v2"))
-    variants = left.select("ord", "j", "v1", "v2", F.col("n").alias("n")).union(
-        whole.select("ord", F.lit(-1), "v1", "v2", F.lit(0)))
-    group = variants.groupBy("v1", "v2", "j").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
-    replaced = group.where("j >= 0 and first <> last").select("v1", "v2", "j", "first")
-    key = group.groupBy("v1", "v2").agg(F.min(F.when(F.col("j") < 0, F.col("first"))).alias("of_whole"),
-                                        F.min(F.when(F.col("j") >= 0, F.col("first"))).alias("of_cut"))
-    cut = key.where("of_whole is not null and of_cut is not null")
-    found = (variants.where("j >= 0").join(replaced, ["v1", "v2", "j"]).select("ord", F.col("first").alias("partner"))
-             .union(variants.join(cut, ["v1", "v2"]).select("ord", F.when(F.col("j") < 0, F.col("of_cut")).otherwise(F.col("of_whole")))))
-    return found.where("partner < ord").groupBy("ord").agg(F.min("partner").alias("partner"))
+    left = at.select("ord", "n", "j", *[(F.sum(f"a{k}").over(upto) - F.col(f"a{k}") + F.sum(f"b{k}").over(line) - F.sum(f"b{k}").over(upto)).alias(f"v{k}") for k in (1, 2)],
+                     *[F.sum(f"a{k}").over(line).alias(f"w{k}") for k in (1, 2)])
+    # the line itself rides on its first word as place -1
+    both = F.when(F.col("j") == 0, F.array(F.struct(F.col("j"), F.xxhash64("v1", "v2").alias("v")), F.struct(F.lit(-1).alias("j"), F.xxhash64("w1", "w2").alias("v")))
+                  ).otherwise(F.array(F.struct(F.col("j"), F.xxhash64("v1", "v2").alias("v"))))
+    variants = left.select("ord", F.explode(both).alias("x")).select("ord", "x.v", "x.j")
+    group = variants.groupBy("v", "j").agg(F.min("ord").alias("first"), F.count("*").alias("c"))
+    key = group.groupBy("v").agg(F.min(F.when(F.col("j") < 0, F.col("first"))).alias("of_whole"), F.min(F.when(F.col("j") >= 0, F.col("first"))).alias("of_cut"),
+                                 F.max(F.when(F.col("j") >= 0, F.col("c"))).alias("c")).where("c > 1 or (of_whole is not null and of_cut is not null)")
+    # of lines with the same place left out, and of lines one shorter or longer
+    met = variants.join(key.select("v", "of_whole", "of_cut"), "v").join(group.select("v", "j", "first"), ["v", "j"])
+    partner = F.least(F.when(F.col("j") < 0, F.col("of_cut")).otherwise(F.col("of_whole")), F.when(F.col("j") >= 0, F.col("first")))
+    return met.select("ord", partner.alias("partner")).where("partner < ord").groupBy("ord").agg(F.min("partner").alias("partner"))
 
 
 def _within_one(a, b):
@@ -92,37 +97,36 @@ def drop_lines(docs, id_col="doc_id", text_col="text", same_words=3, near_words=
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     base = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)])
     id_, text = F.col(f"_c{names.index(id_col)}").cast("long"), F.col(f"_c{names.index(text_col)}")
-    base = base.withColumn("_id", id_).withColumn("_th", F.xxhash64(text))
-    cut = base.select("_id", "_th", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    seen = cut.select("_id", "_th", "pos", _words(F.col("line")).alias("w")).where(F.size("w") >= same_words)
-    joined = F.concat_ws(" ", "w")
-    lines = stored(seen.select(
-        "_id", "_th", "pos", F.size("w").alias("n"), F.xxhash64(joined).alias("h1"), F.xxhash64(F.lit(1), joined).alias("h2"),
-        F.xxhash64(F.slice("w", 1, END)).alias("head"), F.xxhash64(F.slice("w", -END, END)).alias("tail")), "lines")
-    lines = lines.withColumn("ord", _order(F.col("_id"), F.col("pos")))
-    distinct = lines.groupBy("h1", "h2").agg(F.min("ord").alias("first"), *[F.min(c).alias(c) for c in ("n", "head", "tail")])
-    chosen = _candidates(distinct, near_words).join(distinct.select("h1", "h2", "first"), ["h1", "h2"])
-    spots = (chosen.join(lines.select("h1", "h2", "_id", "_th", "pos", "ord"), ["h1", "h2"]).where("ord = first")
-             .dropDuplicates(["ord"]).select("_id", "_th", "pos", "ord"))
-    texts = base.select("_id", "_th", text.alias("_t"))
-    held = spots.groupBy("_id", "_th").agg(F.collect_list(F.struct("pos", "ord")).alias("s"))
-    held = (held.join(texts, (held["_id"].eqNullSafe(texts["_id"])) & (held["_th"] == texts["_th"]))
-            .select(F.split("_t", "\n").alias("l"), F.explode("s").alias("s"))
+    base = base.withColumn("_k1", F.xxhash64(id_, text)).withColumn("_k2", F.xxhash64(F.lit(1), id_, text))
+    cut = base.select(id_.alias("_id"), "_k1", "_k2", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    seen = cut.select("_id", "_k1", "_k2", "pos", _words(F.col("line")).alias("w")).where(F.size("w") >= same_words)
+    joined, n = F.concat_ws(" ", "w"), F.size("w")
+    lines = stored(seen.select("_id", "_k1", "_k2", "pos", F.xxhash64(joined).alias("h1"), F.xxhash64(F.lit(1), joined).alias("h2"),
+                               F.when(n >= near_words, _halves(F.col("w"), n)).alias("ends")), "lines")
+    chosen = stored(_candidates(lines), "lines")
+    lines = lines.select("_k1", "_k2", "pos", "h1", "h2", _order(F.col("_id"), F.col("pos")).alias("ord"))
+    first = lines.groupBy("h1", "h2").agg(F.min("ord").alias("first"))
+    lines = stored(lines.join(first, ["h1", "h2"]).select("_k1", "_k2", "pos", "h1", "ord", "first"), "lines")
+    spots = lines.where("ord = first").join(chosen, "h1").groupBy("_k1", "_k2").agg(F.collect_set(F.struct("pos", "ord")).alias("s"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = base.repartition(parts, "_k1", "_k2")
+    # always the text; it names every column, so that this reading of the texts and the last share one exchange
+    whole = F.when(F.size(F.array(F.xxhash64(*base.columns))) == 1, text)
+    held = (dealt.join(spots, ["_k1", "_k2"]).select(F.split(whole, "\n").alias("l"), F.explode("s").alias("s"))
             .select("s.ord", _words(F.col("l")[F.col("s.pos")]).alias("w")).dropDuplicates(["ord"]))
-    held = stored(held.select("ord", F.size("w").alias("n"), "w"), "lines")
+    held = held.select("ord", F.size("w").alias("n"), "w")
     near = _neighbours(held)
     near = (near.join(held.select("ord", F.col("w").alias("_a")), "ord").join(held.select(F.col("ord").alias("partner"), F.col("w").alias("_b")), "partner")
             .where(_within_one(F.col("_a"), F.col("_b"))).select(F.col("ord").alias("first"), F.lit(True).alias("near")))
-    flags = distinct.select("h1", "h2", "first").join(near, "first", "left")
-    gone = (lines.select("_id", "_th", "pos", "ord", "h1", "h2").join(flags, ["h1", "h2"]).where("near or ord > first")
-            .groupBy("_id", "_th").agg(F.collect_set("pos").alias("_gone")).select(F.col("_id").alias("_gi"), F.col("_th").alias("_gt"), "_gone"))
+    gone = (lines.join(near, "first", "left").where("near or ord > first").groupBy("_k1", "_k2").agg(F.collect_set("pos").alias("_gone"))
+            .select(F.col("_k1").alias("_g1"), F.col("_k2").alias("_g2"), "_gone"))
     # lines and dropped line numbers sorted together: a number stands right before its line
     both = F.sort_array(F.concat(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("t"))),
                                  F.transform("_gone", lambda i: F.struct(i.alias("i"), F.lit(None).cast("string").alias("t")))))
     beside = F.arrays_zip(F.col("_s").alias("s"), F.concat(F.array(F.lit(None).cast("struct<i:int,t:string>")), F.col("_s")).alias("p"))
     left = F.filter(beside, lambda x: x["s"]["t"].isNotNull() & ~x["s"]["i"].eqNullSafe(x["p"]["i"]))
     kept = F.array_join(F.transform(left, lambda x: x["s"]["t"]), "\n")
-    out = base.join(gone, F.col("_id").eqNullSafe(F.col("_gi")) & (F.col("_th") == F.col("_gt")), "left")
+    out = dealt.join(gone, (F.col("_k1") == F.col("_g1")) & (F.col("_k2") == F.col("_g2")), "left")
     out = out.withColumn("_s", F.when(F.col("_gone").isNotNull(), both)).withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept).otherwise(text))
     return out.select(*[(F.col("_kept") if c == text_col else F.col(f"_c{i}")).alias(c) for i, c in enumerate(names)],
                       F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"),

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 KEPT = 300_000
-AT_ONCE = 200  # documents whose unknown matches are encoded together
+AT_ONCE = 100  # documents that are worked off together
 _coders = {}
 
 
@@ -127,13 +127,12 @@ def encode(docs, ranks, pattern, text_col="text", to="ids"):
     def run(batches):
         coder = _coder(model, pattern)
         for batch in batches:
-            texts = batch.column(len(names)).fill_null("")
-            parts = []
-            for lo in range(0, len(texts), AT_ONCE):
-                parts += coder.encode(texts[lo:lo + AT_ONCE].to_pylist())
-            ends = np.cumsum([0] + [len(p) // 4 for p in parts]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(names)], ids], names=[f"_{i}" for i in range(len(names) + 1)])
+            for lo in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(lo, AT_ONCE)
+                coded = coder.encode(part.column(len(names)).fill_null("").to_pylist())
+                ends = np.cumsum([0] + [len(p) // 4 for p in coded]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(names)], ids], names=[f"_{i}" for i in range(len(names) + 1)])
 
     kinds = {f.name: f.dataType for f in docs.schema}
     schema = T.StructType([T.StructField(f"_{i}", kinds[c]) for i, c in enumerate(names)]
@@ -149,8 +148,10 @@ def decode(docs, ranks, pattern, ids_col="ids", to="decoded"):
     def run(batches):
         coder = _coder(model, pattern)
         for batch in batches:
-            texts = [coder.decode(ids or ()) for ids in batch.column(len(names)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(names)], pa.array(texts, pa.binary())], names=[f"_{i}" for i in range(len(names) + 1)])
+            for lo in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(lo, AT_ONCE)
+                texts = [coder.decode(ids or ()) for ids in part.column(len(names)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(names)], pa.array(texts, pa.binary())], names=[f"_{i}" for i in range(len(names) + 1)])
 
     kinds = {f.name: f.dataType for f in docs.schema}
     schema = T.StructType([T.StructField(f"_{i}", kinds[c]) for i, c in enumerate(names)] + [T.StructField(f"_{len(names)}", T.BinaryType())])

@@ -41,8 +41,10 @@ def lookup_table(shards, size):
         _inverse(_hash(F.concat(F.lit("skip:"), "shard")) % (size - 1) + 1, size).alias("back")).alias("s"))
     order = prefer.agg(F.sort_array(F.collect_list("s")).alias("s")).where("size(s) > 0")
 
+    many = F.greatest(F.size("s"), F.lit(1))  # also where the filter above is evaluated later
+
     def turn(state, t):
-        own = F.col("s")[(t % F.size("s")).cast("int")]
+        own = F.get("s", (t % many).cast("int"))
         # place of a free slot in the shard's order, ahead of the slot itself
         ranked = F.transform(state["free"], lambda x: F.pmod((x - own["offset"]) * own["back"], F.lit(size).cast("long")) * size + x)
         claimed = F.array_min(ranked) % size
@@ -53,7 +55,7 @@ def lookup_table(shards, size):
     turns = F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))
     return (order.select("s", F.aggregate(turns, start, turn, lambda x: x["claims"]).alias("claims"))
             .select("s", F.posexplode("claims").alias("t", "slot"))
-            .select("slot", F.col("s")[F.col("t") % F.size("s")]["shard"].alias("shard")))
+            .select("slot", F.get("s", (F.col("t") % many).cast("int"))["shard"].alias("shard")))
 
 
 def place(docs, table, size, key_col="doc_id"):

@@ -91,7 +91,8 @@ def drop_lines(docs, id_col="doc_id", text_col="text", same_words=3, near_words=
     ``same_words`` words or more goes if an earlier line has the same words; of ``near_words`` or
     more also if an earlier line is within one word edit. Shorter lines and lines without words
     stay. Null and empty texts are returned as they are (null: no lines). Rows equal in id and
-    text are treated alike: none is earlier than the other. Columns of docs named ``n_lines`` or
+    text are treated alike: none is earlier than the other. Ids are taken to name one text: if they
+    do not, lines of equal id and number tie, and which of them counts as earlier is not defined. Columns of docs named ``n_lines`` or
     ``n_removed`` are replaced. An empty table gives an empty table.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
@@ -103,23 +104,27 @@ def drop_lines(docs, id_col="doc_id", text_col="text", same_words=3, near_words=
     joined, n = F.concat_ws(" ", "w"), F.size("w")
     lines = stored(seen.select("_id", "_k1", "_k2", "pos", F.xxhash64(joined).alias("h1"), F.xxhash64(F.lit(1), joined).alias("h2"),
                                F.when(n >= near_words, _halves(F.col("w"), n)).alias("ends")), "lines")
-    chosen = stored(_candidates(lines), "lines")
+    chosen = _candidates(lines)
     lines = lines.select("_k1", "_k2", "pos", "h1", "h2", _order(F.col("_id"), F.col("pos")).alias("ord"))
-    first = lines.groupBy("h1", "h2").agg(F.min("ord").alias("first"))
-    lines = stored(lines.join(first, ["h1", "h2"]).select("_k1", "_k2", "pos", "h1", "ord", "first"), "lines")
-    spots = lines.where("ord = first").join(chosen, "h1").groupBy("_k1", "_k2").agg(F.collect_set(F.struct("pos", "ord")).alias("s"))
+    repeated = (lines.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first <> last")
+                .select("h1", F.col("h2").alias("_h2"), "first"))
+    # most lines are neither; the others come out of one join
+    wanted = stored(repeated.unionByName(chosen.select("h1", F.lit(None).cast("long").alias("_h2"), F.lit(None).cast("decimal(38,0)").alias("first"))), "lines")
+    lines = stored(lines.join(wanted, "h1").where("_h2 is null or h2 = _h2 and ord > first"), "lines")
+    spots = (lines.where("_h2 is null").groupBy("h1", "h2").agg(F.min(F.struct("ord", "pos", "_k1", "_k2")).alias("s")).select("s.*")
+             .groupBy("_k1", "_k2").agg(F.collect_set(F.struct("pos", "ord")).alias("s")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = base.repartition(parts, "_k1", "_k2")
     # always the text; it names every column, so that this reading of the texts and the last share one exchange
     whole = F.when(F.size(F.array(F.xxhash64(*base.columns))) == 1, text)
-    held = (dealt.join(spots, ["_k1", "_k2"]).select(F.split(whole, "\n").alias("l"), F.explode("s").alias("s"))
-            .select("s.ord", _words(F.col("l")[F.col("s.pos")]).alias("w")).dropDuplicates(["ord"]))
-    held = held.select("ord", F.size("w").alias("n"), "w")
+    held = (dealt.join(spots, ["_k1", "_k2"]).select("_k1", "_k2", F.split(whole, "\n").alias("l"), F.explode("s").alias("s"))
+            .select("_k1", "_k2", "s.pos", "s.ord", _words(F.col("l")[F.col("s.pos")]).alias("w")).dropDuplicates(["ord"]))
+    held = held.select("ord", F.size("w").alias("n"), "w", "_k1", "_k2", "pos")
     near = _neighbours(held)
-    near = (near.join(held.select("ord", F.col("w").alias("_a")), "ord").join(held.select(F.col("ord").alias("partner"), F.col("w").alias("_b")), "partner")
-            .where(_within_one(F.col("_a"), F.col("_b"))).select(F.col("ord").alias("first"), F.lit(True).alias("near")))
-    gone = (lines.join(near, "first", "left").where("near or ord > first").groupBy("_k1", "_k2").agg(F.collect_set("pos").alias("_gone"))
-            .select(F.col("_k1").alias("_g1"), F.col("_k2").alias("_g2"), "_gone"))
+    near = (near.join(held.select("ord", "_k1", "_k2", "pos", F.col("w").alias("_a")), "ord")
+            .join(held.select(F.col("ord").alias("partner"), F.col("w").alias("_b")), "partner").where(_within_one(F.col("_a"), F.col("_b"))))
+    gone = (lines.where("_h2 is not null").select("_k1", "_k2", "pos").union(near.select("_k1", "_k2", "pos"))
+            .groupBy("_k1", "_k2").agg(F.collect_set("pos").alias("_gone")).select(F.col("_k1").alias("_g1"), F.col("_k2").alias("_g2"), "_gone"))
     # lines and dropped line numbers sorted together: a number stands right before its line
     both = F.sort_array(F.concat(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("t"))),
                                  F.transform("_gone", lambda i: F.struct(i.alias("i"), F.lit(None).cast("string").alias("t")))))

@@ -153,9 +153,10 @@ def _left_over(dealt, pairs, first, size, share, block):
     member = (member.join(label, "x", "left").withColumn("component", F.coalesce("component", "x"))
               .join(label.select(F.col("x").alias("pivot"), F.col("component").alias("_pc")), "pivot", "left")
               .withColumn("apart", F.col("component") != F.coalesce("_pc", "pivot")))
-    size_of = (member.groupBy("pivot").agg(F.count("*").alias("_m"), F.sum(F.col("apart").cast("long")).alias("_l"))
+    # stored, so that the join deals only plain rows by pivot and a hot pivot can be split
+    size_of = stored(member.groupBy("pivot").agg(F.count("*").alias("_m"), F.sum(F.col("apart").cast("long")).alias("_l"))
                .where("_l > 0 and _m > 2")
-               .select("pivot", F.ceil(F.col("_m") / block).cast("int").alias("_m"), F.ceil(F.col("_l") / block).cast("int").alias("_l")))
+               .select("pivot", F.ceil(F.col("_m") / block).cast("int").alias("_m"), F.ceil(F.col("_l") / block).cast("int").alias("_l")), "pivots")
     rows = member.join(size_of, "pivot").select(
         "pivot", "x", "component", F.explode(F.expr("""
             concat(transform(sequence(0, _l - 1), i -> struct(false AS left, i AS bl, int(pmod(xxhash64(x), _m)) AS bm)),

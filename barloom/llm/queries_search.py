@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from barloom.llm.registry import query, table
 from barloom.llm.vptree import nearest
 
-FACTOR = 4.0
+FACTOR = 2.0
 
 
 @query("op8_vptree_search")

@@ -143,11 +143,12 @@ def _search_tree(tree, best, top, factor):
 
 def _search(k, top, factor):
     def search(trees, queries):
+        if not len(queries) or not len(trees):
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         best = Best(_matrix(queries["_v"]), np.asarray(queries["_id"]), k)
-        if len(best.own):
-            for blob in trees["tree"]:
-                with np.load(io.BytesIO(blob.as_py())) as tree:
-                    _search_tree(dict(tree), best, top, factor)
+        for blob in trees["tree"]:
+            with np.load(io.BytesIO(blob.as_py())) as tree:
+                _search_tree(dict(tree), best, top, factor)
         found = np.isfinite(best.score)
         query = np.repeat(best.own, k)[found.reshape(-1)]
         return pa.table({"query_id": query, "vec_id": best.id[found], "score": best.score[found]})
@@ -155,7 +156,7 @@ def _search(k, top, factor):
     return search
 
 
-def nearest(vectors, queries, k=20, factor=4.0, id_col="vec_id", vec_col="embedding", shard=SHARD, leaf=LEAF):
+def nearest(vectors, queries, k=20, factor=2.0, id_col="vec_id", vec_col="embedding", shard=SHARD, leaf=LEAF):
     """``query_id``, ``rank`` (int, from 1), ``vec_id``, ``score``: the k rows of largest inner product.
 
     Both DataFrames have ``id_col`` and ``vec_col``. A row with a query's id is its own and no

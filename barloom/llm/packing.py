@@ -18,6 +18,8 @@ from bisect import bisect_left, insort
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from barloom.llm.staging import stored
+
 SIZES = (512, 1024, 2048, 4096)
 BROADCAST_RUNS = 200_000  # a longer plan is joined by a shuffle
 RUN = "length long, first long, items long, each long, bin long, at long, capacity long"
@@ -102,7 +104,7 @@ def pack(docs, text_col="text", id_col="doc_id", sizes=SIZES, cost=sequence_cost
               .select(*kept, "_id", "p.piece", F.size("p.w").cast("long").alias("length"), F.array_join("p.w", " ").alias("_t")))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("_id", "piece"), F.lit(buckets)))
-    counts = pieces.where("length > 0").groupBy("length", "bucket").agg(F.count("*").alias("n")).toDF("length", "bucket", "n")
+    counts = stored(pieces.where("length > 0").groupBy("length", "bucket").agg(F.count("*").alias("n")), "lengths")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most max(sizes) rows
     runs = plan(histogram, sizes, cost)
     table = spark.createDataFrame(runs, RUN).withColumnRenamed("length", "_length")

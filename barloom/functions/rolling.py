@@ -16,8 +16,8 @@ from pyspark.sql import Window, functions as F
 
 from barloom.functions.scalars import col
 
-# rows per block; longer than any window, and decay**BLOCK is below the
-# precision of a double for spans up to 27
+# rows per block: no window may be longer, and decay**BLOCK has to be below the
+# precision of a double, which it is for spans up to 27
 BLOCK = 512
 MARKS = ("_pos", "_blk", "_off")
 
@@ -59,7 +59,7 @@ def change_over(c, n, window=None):
     return c / F.nullif(F.lag(c, n).over(window or series()), F.lit(0.0)) - 1
 
 
-def with_rolling(df, rolls=None, emas=None, key="symbol", known=None):
+def with_rolling(df, rolls=None, emas=None, key="symbol", zeros=None):
     """Rolling sums, means and sample deviations, and exponential averages.
 
     ``rolls`` maps a new column to (kind, source column, n) with kind sum, avg or
@@ -68,24 +68,31 @@ def with_rolling(df, rolls=None, emas=None, key="symbol", known=None):
     frame must be positioned. The plan is three window operators on one sort,
     however many columns are asked for.
 
-    ``known`` tells, for a source that is null only in its first rows, how many
-    those are and whether it holds runs of zeros; other sources are counted.
+    Deviations are taken over moving frames: differences of sums of squares would lose
+    them where prices are large against their spread. Sums and means reach back one
+    block and exponential averages two, so longer windows and spans are refused.
+
+    ``zeros`` names the sources that hold runs of zeros, where a sum of nothing but
+    zeros must be exactly zero; by default all do.
     """
-    rolls, emas, known = rolls or {}, emas or {}, known or {}
-    lead = {c: known[c][0] if c in known else None for _, c, _ in rolls.values()}
-    zeros = {c: known[c][1] if c in known else True for c in lead}
+    rolls, emas = rolls or {}, emas or {}
+    for name, (_, _, n) in rolls.items():
+        if n > BLOCK:
+            raise ValueError(f"{name}: at most {BLOCK} rows, not {n}")
+    for name, (_, span) in emas.items():
+        if (1 - 2.0 / (span + 1)) ** BLOCK > 1e-16:
+            raise ValueError(f"{name}: span {span} decays too slowly for blocks of {BLOCK} rows")
+    sums = {k: v for k, v in rolls.items() if v[0] != "std"}
+    zeros = {c: zeros is None or c in zeros for _, c, _ in sums.values()}
     running = f"(PARTITION BY {key}, _blk ORDER BY _off ROWS UNBOUNDED PRECEDING)"
     block = f"(PARTITION BY {key}, _blk)"
     ordered = f"(PARTITION BY {key} ORDER BY _blk, _off)"
 
-    # running quantities: s sum, q sum of squares, n non-null count, z non-zero count, e decayed sum
+    # running quantities: s sum, n non-null count, z non-zero count, e decayed sum
     terms = {}
-    for kind, c, _ in rolls.values():
+    for _, c, _ in sums.values():
         terms[f"s_{c}"] = f"coalesce({c}, 0D)"
-        if kind == "std":
-            terms[f"q_{c}"] = f"coalesce({c} * {c}, 0D)"
-        if lead[c] is None:
-            terms[f"n_{c}"] = f"int({c} IS NOT NULL)"
+        terms[f"n_{c}"] = f"int({c} IS NOT NULL)"
         if zeros[c]:
             terms[f"z_{c}"] = f"coalesce(int({c} <> 0), 0)"
     for name, (c, span) in emas.items():
@@ -95,7 +102,7 @@ def with_rolling(df, rolls=None, emas=None, key="symbol", known=None):
     df = df.selectExpr("*", *[f"sum(_t_{k}) OVER {running} AS _p_{k}" for k in terms])
     df = df.selectExpr("*", *[f"sum(_t_{k}) OVER {block} AS _b_{k}" for k in terms])
 
-    reach = sorted({(p, c, n) for _, c, n in rolls.values() for p in "sqnz" if f"{p}_{c}" in terms})
+    reach = sorted({(p, c, n) for _, c, n in sums.values() for p in "snz" if f"{p}_{c}" in terms})
     df = df.selectExpr(
         "*", *[f"lag(_{w}_{p}_{c}, {n}) OVER {ordered} AS _{w}{n}_{p}_{c}" for p, c, n in reach for w in "pb"],
         # the row one block earlier has the same offset in the block before
@@ -106,18 +113,15 @@ def with_rolling(df, rolls=None, emas=None, key="symbol", known=None):
 
     out = []
     for name, (kind, c, n) in rolls.items():
-        total = f"_m{n}_s_{c}"
         if kind == "std":
-            spread = f"(_m{n}_q_{c} - {total} * {total} / {n})"
-            # below the rounding of the sums the values are all equal
-            noise = f"1e-13 * (_p_q_{c} + coalesce(_b{n}_q_{c}, 0D))"
-            value = f"sqrt(if({spread} > {noise}, {spread}, 0D) / {n - 1})"
-        else:
-            # a sum of nothing but zeros is exactly zero, not rounding residue
-            value = f"if(_m{n}_z_{c} = 0, 0D, {total})" if zeros[c] else total
-            value = f"{value} / {n}" if kind == "avg" else value
-        full = f"_m{n}_n_{c} = {n}" if lead[c] is None else f"_pos >= {n - 1 + lead[c]}"
-        out.append(f"if({full}, {value}, NULL) AS {name}")
+            frame = f"OVER (PARTITION BY {key} ORDER BY _blk, _off ROWS {n - 1} PRECEDING)"
+            out.append(f"if(count({c}) {frame} = {n}, stddev_samp({c}) {frame}, NULL) AS {name}")
+            continue
+        total = f"_m{n}_s_{c}"
+        # a sum of nothing but zeros is exactly zero, not rounding residue
+        value = f"if(_m{n}_z_{c} = 0, 0D, {total})" if zeros[c] else total
+        value = f"{value} / {n}" if kind == "avg" else value
+        out.append(f"if(_m{n}_n_{c} = {n}, {value}, NULL) AS {name}")
     for name, (_, span) in emas.items():
         d = 1 - 2.0 / (span + 1)
         out.append(f"pow({d!r}D, _off) * (_p_e_{name} + _c_{name} * {d ** BLOCK!r}D) AS {name}")

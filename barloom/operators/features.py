@@ -16,9 +16,8 @@ SPREAD = {f"volatility{n}": ("std", "return1", n) for n in (10, 20)}
 VOLUME = {"_vma": ("avg", "volume", 20)}
 EMA = {"ema9": ("close", 9), "ema20": ("close", 20)}
 MACD = {"_fast": ("close", 12), "_slow": ("close", 26)}
-# sources: rows without a value at the start of a series, and whether zeros come in runs
-KNOWN = {"close": (0, False), "volume": (0, False), "return1": (1, False), "_tr": (0, False),
-         "_up": (1, True), "_dn": (1, True), "_pd": (0, True), "_md": (0, True)}
+# sources where zeros come in runs
+ZEROS = ("_up", "_dn", "_pd", "_md")
 RETURNS, LAGS = (1, 3, 5, 10, 20), (1, 2, 3, 5)
 
 
@@ -59,7 +58,7 @@ def _tidy(df, bars, *columns):
 
 
 def with_sma(bars):
-    return _tidy(with_rolling(positioned(bars), SMA, known=KNOWN), bars, *SMA)
+    return _tidy(with_rolling(positioned(bars), SMA, zeros=ZEROS), bars, *SMA)
 
 
 def with_ema(bars):
@@ -74,21 +73,21 @@ def with_macd(bars):
 
 def with_rsi(bars):
     """Relative strength from simple means of gains and losses."""
-    return _tidy(_rsi(with_rolling(_moves(positioned(bars)), RSI, known=KNOWN)), bars, "rsi14")
+    return _tidy(_rsi(with_rolling(_moves(positioned(bars)), RSI, zeros=ZEROS)), bars, "rsi14")
 
 
 def with_atr(bars):
-    df = with_rolling(_moves(positioned(bars)), ATR, known=KNOWN)
+    df = with_rolling(_moves(positioned(bars)), ATR, zeros=ZEROS)
     return _tidy(df.withColumn("atr_pct", S.ratio("atr14", "close")), bars, "atr14", "atr_pct")
 
 
 def with_adx(bars):
-    df = _dx(with_rolling(_moves(positioned(bars)), MOVES, known=KNOWN))
+    df = _dx(with_rolling(_moves(positioned(bars)), MOVES, zeros=ZEROS))
     return _tidy(with_rolling(df, {"adx14": ("avg", "_dx", 14)}), bars, "adx14")
 
 
 def with_bollinger(bars):
-    return _tidy(_bands(with_rolling(positioned(bars), BANDS, known=KNOWN)), bars, "bb_mid", "bb_upper", "bb_lower", "bb_position")
+    return _tidy(_bands(with_rolling(positioned(bars), BANDS, zeros=ZEROS)), bars, "bb_mid", "bb_upper", "bb_lower", "bb_position")
 
 
 def _returns(df):
@@ -105,7 +104,7 @@ def with_returns(bars):
 
 
 def with_volatility(bars):
-    return _tidy(with_rolling(_moves(positioned(bars)), SPREAD, known=KNOWN), bars, *SPREAD)
+    return _tidy(with_rolling(_moves(positioned(bars)), SPREAD, zeros=ZEROS), bars, *SPREAD)
 
 
 def _obv(df):
@@ -114,7 +113,7 @@ def _obv(df):
 
 
 def with_volume_features(bars):
-    df = _obv(with_rolling(_moves(positioned(bars)), VOLUME, known=KNOWN))
+    df = _obv(with_rolling(_moves(positioned(bars)), VOLUME, zeros=ZEROS))
     return _tidy(df.withColumn("volume_ratio", S.ratio("volume", "_vma")), bars, "volume_ratio", "obv", "obv_change")
 
 
@@ -135,7 +134,7 @@ def feature_frame(bars):
     """
     df = bars.select("symbol", "date", "open", "high", "low", "close", "volume")
     df = _returns(_moves(positioned(df)))
-    df = with_rolling(df, {**SMA, **BANDS, **RSI, **ATR, **MOVES, **SPREAD, **VOLUME}, {**EMA, **MACD}, known=KNOWN)
+    df = with_rolling(df, {**SMA, **BANDS, **RSI, **ATR, **MOVES, **SPREAD, **VOLUME}, {**EMA, **MACD}, zeros=ZEROS)
     df = _obv(_dx(_rsi(_bands(df)))).withColumn("macd", F.col("_fast") - F.col("_slow"))
     df = with_rolling(df, {"adx14": ("avg", "_dx", 14)}, {"macd_signal": ("macd", 9)})
     df = with_candle_shape(df).withColumns({
@@ -174,10 +173,24 @@ def horizon_targets(bars, cutoff=None, horizons=K.HORIZONS):
         f"target_return_{h}d": (S.ratio(f"target_close_{h}d", "close") - 1) * 100 for h in horizons})
 
 
-def leakage_audit(frame, cutoff, horizon, features=K.FEATURES):
-    """One row: rows at or after the cutoff, labels that reach it, columns present."""
+def _label_dates(frame, horizon, panel):
+    dates = panel.select("symbol", "date").withColumn("_target", F.lead("date", horizon).over(series()))
+    return frame.join(dates, ["symbol", "date"], "left")
+
+
+def purged(frame, cutoff, horizon, panel):
+    """Rows whose label, ``horizon`` sessions later in the full panel, lies before the cutoff."""
+    return _label_dates(frame, horizon, panel).where(F.col("_target") < F.lit(cutoff).cast("date")).drop("_target")
+
+
+def leakage_audit(frame, cutoff, horizon, features=K.FEATURES, panel=None):
+    """One row: rows at or after the cutoff, labels that reach it, columns present.
+
+    The date of a label is the date of the row ``horizon`` sessions later in ``panel``,
+    the rows before anything was cut; without a panel, in the frame itself.
+    """
     cutoff = F.lit(cutoff).cast("date")
-    df = frame.withColumn("_target", F.lead("date", horizon).over(series()))
+    df = _label_dates(frame, horizon, frame if panel is None else panel)
     present = len([c for c in features if c in frame.columns])
     out = df.agg(
         F.count("*").alias("rows"),

@@ -80,7 +80,7 @@ def _(t):
     return r4(M.rollback_rule(d))
 
 
-# -- pooled forecasts (checked by invariants, not by SQL) ----------------------
+# -- pooled forecasts (checked by invariants, not by SQL; small ensembles, Y.VARIANTS are the full ones) --
 def _frame(t):
     return Y.design(Y.with_price_targets(t.features.where(F.col("date") <= F.lit(CUTOFF).cast("date"))))
 
@@ -88,7 +88,9 @@ def _frame(t):
 @query("ensemble_forecast")
 def _(t):
     frame = _frame(t)
-    fit = Y.fit_ensemble(frame, "t_close")
+    fit = Y.fit_ensemble(frame, "t_close", sizes=Y.QUICK)
+    if fit is None:
+        raise ValueError("too few sessions to hold some out")
     out = fit.predict(Y.latest_rows(frame.select("symbol", "date", "close", "x")), "expected")
     return out.select("symbol", "date", (F.col("close") * (1 + F.col("expected"))).alias("pred_close"), F.col("expected_agreement").alias("agreement"),
                       F.col("expected_dispersion").alias("dispersion_pct"), F.lit(fit.mape).alias("validation_mape"))
@@ -97,25 +99,27 @@ def _(t):
 @query("direction_forecast")
 def _(t):
     frame = _frame(t)
-    return Y.direction_forecast(frame, Y.latest_rows(frame.select("symbol", "date", "x"))).drop("x")
+    return Y.direction_forecast(frame, Y.latest_rows(frame.select("symbol", "date", "x")), sizes=Y.QUICK).drop("x")
 
 
 @query("volume_forecast")
 def _(t):
     frame = _frame(t)
-    fit = Y.fit_ensemble(frame, "t_volume", price="volume")
+    fit = Y.fit_ensemble(frame, "t_volume", price="volume", log=True, sizes=Y.QUICK)
+    if fit is None:
+        raise ValueError("too few sessions to hold some out")
     out = fit.predict(Y.latest_rows(frame.select("symbol", "date", "volume", "x")), "r")
     return out.select("symbol", "date", F.greatest(F.expm1(F.log1p("volume") + F.col("r")), F.lit(0.0)).alias("pred_volume"))
 
 
 @query("next_session_forecast")
 def _(t):
-    return Y.next_session_forecast(t.features, CUTOFF)
+    return Y.next_session_forecast(t.features, CUTOFF, sizes=Y.QUICK)
 
 
 @query("multi_horizon_forecast")
 def _(t):
-    return Y.multi_horizon_forecast(t.features, CUTOFF)
+    return Y.multi_horizon_forecast(t.features, CUTOFF, sizes=Y.QUICK)
 
 
 @query("trained_hit_prob")

@@ -46,11 +46,24 @@ def _(t):
     return r4(W.supervised_frame(t.features, "1999-06-01"))
 
 
-@query("leakage_audit", f"""WITH s AS ({SUP}) SELECT CASE WHEN count(*)>0 AND sum(CASE WHEN tgt>=DATE '1999-06-01' THEN 1 ELSE 0 END)=0 THEN 'PASS' ELSE 'FAIL' END AS status,
-  count(*) AS rows, 46::BIGINT AS features, 0::BIGINT AS future_rows, CAST(sum(CASE WHEN tgt>=DATE '1999-06-01' THEN 1 ELSE 0 END) AS BIGINT) AS target_leak_rows, 5::BIGINT AS horizon
-  FROM (SELECT {lead('date', 5)} AS tgt FROM s)""")
+def _audit(where):
+    """Audit of labels five sessions ahead by the dates of the full panel."""
+    leak = "CAST(coalesce(sum(CASE WHEN tgt>=DATE '1999-06-01' THEN 1 ELSE 0 END), 0) AS BIGINT)"
+    future = "CAST(coalesce(sum(CASE WHEN date>=DATE '1999-06-01' THEN 1 ELSE 0 END), 0) AS BIGINT)"
+    return f"""WITH s AS ({SUP}), p AS (SELECT symbol, date, {lead('date', 5)} AS tgt FROM features)
+  SELECT CASE WHEN count(*)>0 AND {leak}=0 AND {future}=0 THEN 'PASS' ELSE 'FAIL' END AS status, count(*) AS rows, 46::BIGINT AS features,
+  {future} AS future_rows, {leak} AS target_leak_rows, 5::BIGINT AS horizon FROM s JOIN p USING (symbol, date) {where}"""
+
+
+@query("leakage_audit", _audit("WHERE tgt<DATE '1999-06-01'"))
+def _(t):
+    frame = W.purged(W.supervised_frame(t.features, "1999-06-01"), "1999-06-01", 5, t.features)
+    return W.leakage_audit(frame, "1999-06-01", 5, panel=t.features)
+
+
+@query("leakage_audit_unpurged", _audit(""))
 def _(t):
-    return W.leakage_audit(W.supervised_frame(t.features, "1999-06-01"), "1999-06-01", 5)
+    return W.leakage_audit(W.supervised_frame(t.features, "1999-06-01"), "1999-06-01", 5, panel=t.features)
 
 
 _HT = ", ".join(f"{R(lead('close', h), 4)} AS target_close_{h}d, {R(f'({lead(chr(99) + chr(108) + chr(111) + chr(115) + chr(101), h)}/nullif(close,0)-1)*100', 4)} AS target_return_{h}d" for h in H)

@@ -19,10 +19,11 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.llm.workers import kept
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 KEPT = 300_000
 AT_ONCE = 100  # documents that are worked off together
-_coders = {}
 
 
 def byte_map():
@@ -113,11 +114,7 @@ class Coder:
 
 
 def _coder(model, pattern):
-    key = (hash(model), pattern)
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = Coder(model, pattern)
-    return _coders[key]
+    return kept(("byte bpe", hash(model), pattern), lambda: Coder(model, pattern))
 
 
 def encode(docs, ranks, pattern, text_col="text", to="ids"):

@@ -28,20 +28,25 @@ import pyarrow.fs
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from barloom.llm.workers import kept
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
-KEPT = 400_000
+KEPT = 800_000
+#: candidates for the mark between words
+MARKS = "♥™€…•★"
 AT_ONCE = 200
 LAST = np.iinfo(np.int64).max
 WRITTEN = "part long, docs long, ids long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
-_coders = {}
 
 
 class Coder:
     """Ids by the tokenizers library, each word between ASCII white space by itself.
 
     The tokenizer drops white space and neither its normalisation nor its pattern reaches across
-    it, so the ids of a text are those of its words; a worker keeps the words it has met.
+    it, so the ids of a text are those of its words; a worker keeps the words it has met. New
+    words are encoded as one text with a mark between them: a character with one id of its own,
+    which no word without that character can have. Words with it are encoded alone.
     """
 
     def __init__(self, definition, width):
@@ -49,25 +54,42 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.model, self.width, self.ids = Tokenizer.from_str(definition), width, {}
+        marks = [(m, self._ids(m)) for m in MARKS]
+        self.mark, self.mark_id = next(((m, ids[0]) for m, ids in marks if len(ids) == 1 and self._ids(f"a {m} b").count(ids[0]) == 1), (None, None))
+
+    def _ids(self, text):
+        return self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, fresh):
+        if self.mark is None:
+            alone, fresh = fresh, []
+        else:
+            mark = self.mark.encode()
+            alone, fresh = [w for w in fresh if mark in w], [w for w in fresh if mark not in w]
+        for word in alone:
+            self.ids[word] = np.array(self._ids(word.decode()), self.width).tobytes()
+        if fresh:
+            ids = np.array(self._ids(f" {self.mark} ".join(w.decode() for w in fresh)), self.width)
+            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
+            if len(ends) != len(fresh):  # the mark is not kept apart by this tokenizer
+                self.mark = None
+                return self._learn(fresh)
+            raw, size = ids.tobytes(), ids.itemsize
+            starts = np.concatenate([[0], ends[:-1] + 1]) * size
+            self.ids.update(zip(fresh, [raw[a:b] for a, b in zip(starts.tolist(), (ends * size).tolist())]))
 
     def encode(self, texts, end):
         found = [t.split() for t in texts]
         fresh = set().union(*found).difference(self.ids)
         if len(self.ids) + len(fresh) > KEPT:
             self.ids, fresh = {}, set().union(*found)
-        fresh = list(fresh)
-        for word, coded in zip(fresh, self.model.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)):
-            self.ids[word] = np.array(coded.ids, self.width).tobytes()
+        self._learn(list(fresh))
         get = self.ids.__getitem__
         return [b"".join([*map(get, f), end]) for f in found]
 
 
 def _coder(definition, width):
-    key = (hash(definition), width)
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = Coder(definition, width)
-    return _coders[key]
+    return kept(("tokenizers", hash(definition), width), lambda: Coder(definition, width))
 
 
 def _store(folder):

@@ -16,7 +16,7 @@ from barloom.llm.queries_tokens import op9_byte_bpe, op10_token_files
 from barloom.llm.token_files import Coder, read_tokens, write_tokens
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-ODD = ["", " ", "▁ a", "'s'll I've", "  two  spaces\n\n\t", "\x00\x1c\x85 　x", "é é ñ 字 🙂👩‍👧", "<|endoftext|> 12345 ４", "a" * 3000, "ＡΣς ǅ"]
+ODD = ["", " ", "♥ a♥b ™ ♥♥", "▁ a", "'s'll I've", "  two  spaces\n\n\t", "\x00\x1c\x85 　x", "é é ñ 字 🙂👩‍👧", "<|endoftext|> 12345 ４", "a" * 3000, "ＡΣς ǅ"]
 
 
 @pytest.fixture(scope="module")

@@ -12,6 +12,8 @@ the more lenient. A rule without a certified and useful cutoff rejects nothing t
 """
 from pyspark.sql import functions as F
 
+from barloom.llm.staging import stored
+
 BLANK = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -63,11 +65,13 @@ def with_statistics(docs, text_col="text"):
     windows = F.transform(F.arrays_zip(F.slice("_w", 1, n).alias("a"), F.slice("_w", F.lit(2), n).alias("b"), F.slice("_w", F.lit(3), n).alias("c")),
                           lambda x: F.xxhash64(x["a"], x["b"], x["c"]))
     held = held.withColumn("_h", windows)
-    return held.select(*kept, F.size("_w").cast("long").alias("n_words"), _without("_t", BLANK).cast("long").alias("word_chars"),
-                       (F.length("_t") - _without("_t", SYMBOLS)).cast("long").alias("n_symbols"),
-                       (F.length("_t") - _without("_t", UPPER)).cast("long").alias("n_upper"),
-                       F.size("_l").cast("long").alias("n_lines"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-                       _repeated_words(F.col("_h")).alias("n_repeat_words"))
+    statistics = F.struct(
+        F.size("_w").cast("long").alias("n_words"), _without("_t", BLANK).cast("long").alias("word_chars"),
+        (F.length("_t") - _without("_t", SYMBOLS)).cast("long").alias("n_symbols"), (F.length("_t") - _without("_t", UPPER)).cast("long").alias("n_upper"),
+        F.size("_l").cast("long").alias("n_lines"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
+        _repeated_words(F.col("_h")).alias("n_repeat_words"))
+    # one row from one: a later filter on the statistics is not pushed below, where each use would compute them again
+    return held.select(*kept, F.explode(F.array(statistics)).alias("_x")).select(*kept, "_x.*")
 
 
 def base_failed():
@@ -104,6 +108,7 @@ def certified_cutoffs(stats, labels, stratum="lang", id_col="doc_id", loss=0.05,
     labels = labels.where(f"`{id_col}` is not null and quality is not null").groupBy(id_col).agg(F.min("quality").alias("_q"))
     held = (stats.where(~base_failed()).select(id_col, F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"),
                                                 *[_statistic(r).alias(r) for r in RULES]).join(labels, id_col))
+    held = stored(held, "rules")  # read twice below
     long = held.select("stratum", "_q", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("x")) for r in RULES])).alias("s"))
     tested = long.groupBy("stratum", F.col("s.rule").alias("rule")).agg(
         F.count_if(F.expr("_q = 1")).alias("n_good"),

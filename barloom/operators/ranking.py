@@ -32,11 +32,29 @@ def strictly_eligible():
             & (m > 0) & (F.coalesce("direction_return_alignment", F.lit(0.0)) >= 60))
 
 
-def cascade(df):
-    """Rows of the first tier that has any: strict, then UP within the cap, then UP."""
+def top_of_first_tier(df, tier, n, bucket="price_bucket"):
+    """The n best of each bucket among the rows of the least tier that has any.
+
+    Ranks are taken inside (bucket, tier), so the input is worked out once and the tier
+    is chosen on the n rows per bucket and tier that are left.
+    """
+    w = Window.partitionBy(bucket, "_tier").orderBy(*rank_order())
+    ranked = df.withColumn("_tier", tier).where("_tier is not null")
+    short = ranked.withColumn("bucket_rank", F.row_number().over(w)).where(F.col("bucket_rank") <= n)
+    least = F.min("_tier").over(Window.partitionBy())  # over n rows per bucket and tier
+    return short.withColumn("_least", least).where("_tier = _least").drop("_least")
+
+
+def selection_tier():
+    """Strict, then UP within the cap, then UP."""
     up = F.upper("direction") == "UP"
-    tier = (F.when(strictly_eligible() & within_uncertainty(), 1)
+    return (F.when(strictly_eligible() & within_uncertainty(), 1)
             .when(up & within_uncertainty(), 2).when(up, 3))
+
+
+def cascade(df):
+    """Rows of the first tier that has any."""
+    tier = selection_tier()
     tiered = df.withColumn("selection_tier", tier.cast("bigint"))
     best = tiered.agg(F.min("selection_tier")).scalar()
     # a later tier includes the rows of the earlier ones, which are then empty
@@ -44,17 +62,15 @@ def cascade(df):
 
 
 def diversified_top(df, n=K.TOP_N, per_bucket=K.MAX_PER_BUCKET):
-    """Best candidate of each bucket first, then the global ranking, capped per bucket.
+    """Best candidate of each bucket first, then the global ranking.
 
-    Only ``per_bucket`` rows of each bucket can be chosen, so the buckets are cut
-    first and the final ordering works on a handful of rows.
+    At most ``per_bucket`` of a bucket are chosen; None leaves it to the ranking, where
+    no more than n of a bucket can be among the first n. So the buckets are cut first and
+    the final ordering works on a handful of rows.
     """
     prices = ["pred_open", "pred_high", "pred_low", "pred_close", "current_price"]
     pool = df.where(F.col("price_bucket") != "OUT").dropna(subset=[c for c in prices if c in df.columns])
-    capped = pool.where(within_uncertainty())
-    some = capped.agg(F.count("*")).scalar()
-    pool = pool.where(within_uncertainty() | (some == 0))
-    short = top_per_bucket(pool, per_bucket)
+    short = top_of_first_tier(pool, F.when(within_uncertainty(), 1).otherwise(2), per_bucket or n).drop("_tier")
     first = (F.col("bucket_rank") > 1).cast("int")
     lead = F.when(first == 0, F.col("price_bucket"))
     return short.orderBy(first, lead, *rank_order()).limit(n)
@@ -64,7 +80,7 @@ def select_top(scored, n=K.TOP_N, min_score=65.0, min_confidence=60.0, min_trade
     """Qualified candidates: thresholds, cascade, cap per bucket, optional n."""
     base = scored.where((F.col("score") >= min_score) & (F.col("confidence") >= min_confidence)
                         & (F.col("trade_confidence") >= min_trade_confidence) & (F.col("direction_return_alignment") >= 60))
-    out = top_per_bucket(cascade(base), per_bucket)
+    out = top_of_first_tier(base, selection_tier(), per_bucket).withColumn("selection_tier", F.col("_tier").cast("bigint")).drop("_tier")
     return out.orderBy("price_bucket", "bucket_rank").limit(n) if n else out
 
 

@@ -185,7 +185,7 @@ CTES["candidates"] = f"""SELECT p.*, coalesce(u.sector,'UNKNOWN') AS sector, coa
   coalesce(horizon_1d, expected_return) AS multi_horizon_expected_return
   FROM latest_predictions p LEFT JOIN universe u ON p.symbol=u.symbol LEFT JOIN technical t ON p.symbol=t.symbol
   LEFT JOIN reliability r ON p.symbol=r.symbol"""
-_N = "CAST(substr(symbol,2,6) AS BIGINT)"
+_N = "CAST(substr(symbol,2) AS BIGINT)"
 CTES["holdings"] = f"""SELECT symbol||'.NS' AS ticker, CAST((n+1)*10 AS DOUBLE) AS quantity,
   CASE WHEN n%5<>0 AND n%7<>0 THEN {R('cost')} END AS average_price,
   CASE WHEN n%5=0 THEN {R('(last_close-cost)*((n+1)*10)')} END AS reported_pnl,

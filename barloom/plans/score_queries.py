@@ -259,6 +259,12 @@ def _(t):
     return r4(T.diversified_top(t.scored).select("symbol", "price_bucket", "score"))
 
 
+@query("diversified_topn_uncapped", f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY price_bucket ORDER BY {_RK}) AS k FROM scored WHERE price_bucket<>'OUT' AND (prediction_uncertainty_pct<=10 OR NOT EXISTS (SELECT 1 FROM scored WHERE price_bucket<>'OUT' AND prediction_uncertainty_pct<=10)))
+  SELECT symbol, price_bucket, {R('score', 4)} AS score FROM p ORDER BY CASE WHEN k=1 THEN 0 ELSE 1 END, CASE WHEN k=1 THEN price_bucket END, {_RK} LIMIT 10""")
+def _(t):
+    return r4(T.diversified_top(t.scored, per_bucket=None).select("symbol", "price_bucket", "score"))
+
+
 @query("select_top", f"""SELECT symbol, price_bucket, {R('score', 4)} AS score FROM (SELECT *, row_number() OVER (PARTITION BY price_bucket ORDER BY {_RK}) AS k FROM
   {_CASC.format("(SELECT * FROM scored WHERE score>=50 AND confidence>=40 AND trade_confidence>=45 AND direction_return_alignment>=60)")}) WHERE k<=6 ORDER BY price_bucket, k LIMIT 10""")
 def _(t):

@@ -1,5 +1,6 @@
 """The bar store: monthly partitions, per-symbol text files, range reads."""
 import re
+import uuid
 
 from pyspark.sql import functions as F, types as T
 
@@ -56,14 +57,20 @@ def missing_ranges(bars, universe, start, end):
     return df.select("symbol", F.inline(ranges))
 
 
-def upsert_bars(spark, path, bars):
+def upsert_bars(spark, path, bars, order=("date",), spread=4):
     """Write bars into the monthly store.
 
+    Of repeated rows of one symbol and date the last by ``order`` counts. A month is written
+    as ``spread`` files, dealt by symbol. Merged months are written in full to a folder beside
+    the store before any partition is replaced and are replaced from there, so a lost executor
+    or a run that ends half-way loses nothing: the folder then still holds them.
+
     Months that do not exist yet, or to which only later dates are added, are
     appended to; other months are merged with what is stored (new rows win) and
     replaced one partition at a time.
     """
-    new = with_month(keep_last(bars, ["symbol", "date"], ["date"], drop_order=False))
+    new = with_month(keep_last(bars, ["symbol", "date"], list(order), drop_order=False))
+    by = ["ym", F.pmod(F.xxhash64("symbol"), F.lit(spread))]
     cols = ["symbol", "date", "open", "high", "low", "close", "volume", "ym"]
     new = new.select(*cols)
     try:
@@ -71,7 +78,7 @@ def upsert_bars(spark, path, bars):
     except Exception as e:  # an empty store has no schema to read
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-        new.repartition("ym").sortWithinPartitions("symbol", "date").write.partitionBy("ym").parquet(path)
+        new.repartition(*by).sortWithinPartitions("symbol", "date").write.partitionBy("ym").parquet(path)
         return
     old = old.withColumn("ym", F.col("ym").cast("string"))
     held = old.groupBy("ym").agg(F.max("date").alias("_last"))
@@ -81,10 +88,9 @@ def upsert_bars(spark, path, bars):
     append = new.join(touched, "ym", "left_anti")
     merged = merge_sources([old.join(touched, "ym", "left_semi"), new.join(touched, "ym", "left_semi")],
                            ["symbol", "date", "ym"]).select(*cols)
-    # the merge reads the partitions it replaces, so it is cut off from them first
-    merged = merged.persist()
-    merged.count()
-    (merged.repartition("ym").sortWithinPartitions("symbol", "date").write.mode("overwrite")
+    staged = f"{path.rstrip('/')}_staged/{uuid.uuid4().hex}"
+    merged.write.parquet(staged)
+    ready = spark.read.schema(merged.schema).parquet(staged)
+    append.repartition(*by).sortWithinPartitions("symbol", "date").write.mode("append").partitionBy("ym").parquet(path)
+    (ready.repartition(*by).sortWithinPartitions("symbol", "date").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("ym").parquet(path))
-    append.repartition("ym").sortWithinPartitions("symbol", "date").write.mode("append").partitionBy("ym").parquet(path)
-    merged.unpersist()

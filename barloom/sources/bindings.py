@@ -247,7 +247,7 @@ class Tables:
     def holdings(self):
         """Positions; a part of them reports profit or return instead of cost."""
         w = Window.partitionBy("symbol").orderBy(F.desc("date"))
-        n = F.substring("symbol", 2, 6).cast("bigint")
+        n = F.expr("substring(symbol, 2)").cast("bigint")
         last = self.bars.select("symbol", "close", F.row_number().over(w).alias("rn")).where("rn <= 61")
         two = last.groupBy("symbol").agg(
             F.max(F.when(F.col("rn") == 1, F.col("close"))).alias("last_close"),

@@ -152,6 +152,15 @@ def _(t):
     return json_rows(x, ["prediction_id"])
 
 
+@query("json_round_trip", f"""SELECT prediction_id, CASE WHEN history_rows%3=0 OR history_rows%5=0 THEN NULL ELSE {R('current_price', 4)} END AS v, price_bucket AS band FROM ledger""")
+def _(t):
+    from barloom.sources.ledgers import json_rows, read_json_rows
+    n = F.col("history_rows")
+    v = F.when(n % 3 == 0, float("nan")).when(n % 5 == 0, float("inf")).otherwise(F.col("current_price"))
+    x = t.ledger.select("prediction_id", v.alias("v"), F.col("price_bucket").alias("band"))
+    return r4(read_json_rows(json_rows(x, ["prediction_id"]), "v double, band string"))
+
+
 @query("ledger_read", f"""SELECT symbol, run_date, 'P'||substr(sha256('1997-05-14|'||symbol||'|1997-05-14|v1'),1,16) AS prediction_id,
   {cols('pred_close baseline_close', 4)}, 0.3::DOUBLE AS baseline_cost_pct FROM (SELECT *, current_price AS baseline_close FROM ledger) WHERE run_date=DATE '1997-05-14'""")
 def _(t):

@@ -71,6 +71,12 @@ def json_rows(df, keys):
     return df.select(*keys, F.to_json(body, {"ignoreNullFields": "false"}).alias("doc"))
 
 
+def read_json_rows(df, schema, doc="doc"):
+    """The fields of a JSON text per row next to the other columns; text that is not JSON gives nulls."""
+    parsed = df.withColumn("_j", F.from_json(doc, schema, {"mode": "PERMISSIVE"})).drop(doc)
+    return parsed.select(*[c for c in parsed.columns if c != "_j"], "_j.*")
+
+
 def _partition(spark, path, column, value):
     """Stored rows of one partition, or None where it does not exist."""
     try:

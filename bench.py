@@ -12,7 +12,7 @@ from barloom.session import build_session
 
 HEADLINE = ("bars", "feature_frame", "ranked_screen", "topk_per_bucket", "diversified_topn", "horizon_offset_join", "asof_latest",
             "calibration_ece", "economic_performance", "cross_section_rank", "clean_bars", "validate_bars", "paired_permutation",
-            "portfolio_plan", "intraday_features")
+            "portfolio_plan", "intraday_features", "final_action", "model_report")
 
 
 def main():

@@ -80,7 +80,7 @@ def _(t):
     return r4(M.rollback_rule(d))
 
 
-# -- pooled forecasts (checked by invariants, not by SQL; small ensembles, Y.VARIANTS are the full ones) --
+# -- pooled forecasts (checked by invariants, not by SQL) --
 def _frame(t):
     return Y.design(Y.with_price_targets(t.features.where(F.col("date") <= F.lit(CUTOFF).cast("date"))))
 
@@ -88,7 +88,7 @@ def _frame(t):
 @query("ensemble_forecast")
 def _(t):
     frame = _frame(t)
-    fit = Y.fit_ensemble(frame, "t_close", sizes=Y.QUICK)
+    fit = Y.fit_ensemble(frame, "t_close")
     if fit is None:
         raise ValueError("too few sessions to hold some out")
     out = fit.predict(Y.latest_rows(frame.select("symbol", "date", "close", "x")), "expected")
@@ -99,13 +99,13 @@ def _(t):
 @query("direction_forecast")
 def _(t):
     frame = _frame(t)
-    return Y.direction_forecast(frame, Y.latest_rows(frame.select("symbol", "date", "x")), sizes=Y.QUICK).drop("x")
+    return Y.direction_forecast(frame, Y.latest_rows(frame.select("symbol", "date", "x"))).drop("x")
 
 
 @query("volume_forecast")
 def _(t):
     frame = _frame(t)
-    fit = Y.fit_ensemble(frame, "t_volume", price="volume", log=True, sizes=Y.QUICK)
+    fit = Y.fit_ensemble(frame, "t_volume", price="volume", log=True)
     if fit is None:
         raise ValueError("too few sessions to hold some out")
     out = fit.predict(Y.latest_rows(frame.select("symbol", "date", "volume", "x")), "r")
@@ -114,12 +114,12 @@ def _(t):
 
 @query("next_session_forecast")
 def _(t):
-    return Y.next_session_forecast(t.features, CUTOFF, sizes=Y.QUICK)
+    return Y.next_session_forecast(t.features, CUTOFF)
 
 
 @query("multi_horizon_forecast")
 def _(t):
-    return Y.multi_horizon_forecast(t.features, CUTOFF, sizes=Y.QUICK)
+    return Y.multi_horizon_forecast(t.features, CUTOFF)
 
 
 @query("trained_hit_prob")

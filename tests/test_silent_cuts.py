@@ -85,3 +85,29 @@ def test_audit_sees_labels_beyond_the_cutoff(make_bars):
     frame = W.supervised_frame(features, cutoff)
     assert W.leakage_audit(frame, cutoff, 5, panel=features).first().asDict()["target_leak_rows"] == 5
     assert W.leakage_audit(W.purged(frame, cutoff, 5, features), cutoff, 5, panel=features).first()["status"] == "PASS"
+
+
+def test_registered_forecasts_use_full_sizes(monkeypatch):
+    from types import SimpleNamespace
+    from barloom.plans import model_queries as Q
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def stop(*args, sizes=Y.VARIANTS, **kwargs):
+        seen.append(sizes)
+        raise Stop
+
+    for name in ("fit_ensemble", "direction_forecast", "next_session_forecast", "multi_horizon_forecast"):
+        monkeypatch.setattr(Y, name, stop)
+    monkeypatch.setattr(Y, "latest_rows", lambda frame: frame)
+    frame = SimpleNamespace(select=lambda *c: None)
+    monkeypatch.setattr(Q, "_frame", lambda t: frame)
+    monkeypatch.setattr("barloom.plans.registry.Tables", lambda *a: SimpleNamespace(features=None))
+    from barloom.plans.catalog import QUERIES
+    for name in ("ensemble", "direction", "volume", "next_session", "multi_horizon"):
+        with pytest.raises(Stop):
+            QUERIES[f"{name}_forecast"](None, None)
+    assert seen == [Y.VARIANTS] * 5
+    assert Y.VARIANTS == {"A": (250, 5, 220, 12, 14), "B": (350, 4, 300, 15, 18)}

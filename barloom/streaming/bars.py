@@ -1,7 +1,7 @@
 """15-minute bars from an event stream, keyed upserts and once-per-key writes."""
 from pyspark.sql import functions as F
 
-from barloom.operators.upserts import merge_sources
+from barloom.operators.upserts import keep_last
 from barloom.sources.bindings import order_key
 
 
@@ -33,9 +33,9 @@ def stream_bars(events, sink, checkpoint, late="10 minutes", width="15 minutes")
 
 
 def upsert_stream(rows, keys, sink, checkpoint, order="event_id"):
-    """Keep the last row of every key in a table that each micro-batch replaces.
+    """Keep the row of the largest ``order`` of every key in a table that each micro-batch replaces.
 
-    A batch writes version ``batch id + 1`` from the version before it, so a batch
+    A late row of a smaller order does not replace a stored one; of equal orders the later batch wins. A batch writes version ``batch id + 1`` from the version before it, so a batch
     that runs again after a failure writes the same version again.
     """
     def apply(batch, batch_id):
@@ -44,7 +44,8 @@ def upsert_stream(rows, keys, sink, checkpoint, order="event_id"):
         fresh = batch.groupBy(*keys).agg(F.max_by(F.struct(*cols), order).alias("_r")).select(*keys, "_r.*")
         if batch_id > 0:
             stored = spark.read.parquet(f"{sink}/version={batch_id}")
-            fresh = merge_sources([stored, fresh], keys)
+            both = stored.withColumn("_prio", F.lit(0)).unionByName(fresh.withColumn("_prio", F.lit(1)))
+            fresh = keep_last(both, keys, [order, "_prio"])
         fresh.write.mode("overwrite").parquet(f"{sink}/version={batch_id + 1}")
         last.append(batch_id + 1)
 
@@ -54,20 +55,44 @@ def upsert_stream(rows, keys, sink, checkpoint, order="event_id"):
     return f"{sink}/version={last[-1]}" if last else None
 
 
-def write_dates_once(rows, date, sink, checkpoint):
-    """Store the rows of each date once; dates that are already stored are left alone.
+def _written(spark, path):
+    """Numbers of the finished batch folders under a path."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(root) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
 
-    Every batch owns one folder and overwrites it, so running a batch again does
-    not store its dates twice.
+
+def write_dates_once(rows, date, sink, checkpoint, late_days=None):
+    """Store the rows of each date once and whole; dates that are already stored are left alone.
+
+    Micro-batches only collect rows, under ``_held``, so a date may be split over any number of
+    files and batches. When the input is used up the closed dates are written together: with
+    ``late_days`` those more than that many days before the newest date seen, the others wait for
+    a later run; without it the end of the input closes every date. Rows without a date count as one date. Every batch owns one folder
+    and overwrites it, so running a batch again does not store its rows twice.
     """
+    spark, held = rows.sparkSession, f"{sink}/_held"
+
+    def stored():
+        n = _written(spark, sink)
+        return spark.read.parquet(*[f"{sink}/batch={i}" for i in n]).select(date).distinct() if n else None
+
+    def unstored(df):
+        known = stored()
+        return df if known is None else df.join(known.withColumnRenamed(date, "_d"), F.col(date).eqNullSafe(F.col("_d")), "left_anti")
+
     def apply(batch, batch_id):
-        spark = batch.sparkSession
-        fresh = batch
-        if batch_id > 0:
-            earlier = spark.read.parquet(sink).where(F.col("batch") < batch_id)
-            fresh = fresh.join(earlier.select(date).distinct(), date, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        unstored(batch).write.mode("overwrite").parquet(f"{held}/batch={batch_id}")
 
     query = rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    n = _written(spark, held)
+    if n:
+        every = spark.read.parquet(*[f"{held}/batch={i}" for i in n])
+        ready = unstored(every)
+        if late_days is not None:
+            newest = every.agg(F.max(date)).first()[0]
+            ready = ready.where(F.col(date) < F.date_sub(F.lit(newest), late_days))
+        if not ready.isEmpty():
+            ready.write.mode("overwrite").parquet(f"{sink}/batch={max(_written(spark, sink), default=-1) + 1}")
     return query

@@ -94,6 +94,29 @@ def test_stream_writes_a_date_once(spark, scratch):
     assert run() == 1
 
 
+def test_stream_upsert_keeps_the_largest_order_over_batches(spark, scratch):
+    schema = feed(spark, scratch + "/in", [(7, at(9, 0), 1, "a", 7.0), (1, at(9, 1), 1, "b", 1.0)], [(3, at(9, 2), 1, "a", 3.0)], [(9, at(9, 3), 1, "b", 9.0)], [(5, at(9, 3), 1, "b", 5.0)])
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(scratch + "/in").select("event_type", "event_id", "value")
+    path = ST.upsert_stream(rows, ["event_type"], scratch + "/out", scratch + "/cp")
+    assert {r["event_type"]: (r["event_id"], r["value"]) for r in spark.read.parquet(path).collect()} == {"a": (7, 7.0), "b": (9, 9.0)}
+
+
+@pytest.mark.parametrize("late_days", [None, 0])
+def test_stream_writes_a_split_date_whole(spark, scratch, late_days):
+    schema = feed(spark, scratch + "/in", [(1, at(9, 0), 1, "a", 1.0)], [(2, at(10, 0), 1, "a", 2.0)])
+    def run():
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(scratch + "/in").select(F.to_date("ts").alias("d"), "value")
+        ST.write_dates_once(rows, "d", scratch + "/out", scratch + "/cp", late_days)
+        n = ST._written(spark, scratch + "/out")
+        return sorted(r["value"] for i in n for r in spark.read.parquet(f"{scratch}/out/batch={i}").collect())
+    assert run() == ([1.0, 2.0] if late_days is None else [])
+    feed(spark, scratch + "/in", [(3, at(11, 0), 1, "a", 3.0)], [(4, at(9, 0) + dt.timedelta(1), 1, "a", 4.0)])
+    assert run() == ([1.0, 2.0, 4.0] if late_days is None else [1.0, 2.0, 3.0])
+    assert run() == ([1.0, 2.0, 4.0] if late_days is None else [1.0, 2.0, 3.0])
+    feed(spark, scratch + "/in", [(5, at(12, 0), 1, "a", 5.0), (6, at(9, 0) + dt.timedelta(2), 1, "a", 6.0)])
+    assert run() == ([1.0, 2.0, 4.0, 6.0] if late_days is None else [1.0, 2.0, 3.0, 4.0])
+
+
 def test_stream_bars_close_with_the_watermark(spark, scratch):
     schema = feed(spark, scratch + "/in", [(1, at(9, 0), 1, "a", 1.0), (2, at(9, 10), 1, "a", 5.0), (3, at(9, 50), 1, "a", 2.0)])
     ST.stream_bars(ST.event_stream(spark, scratch + "/in", "*.parquet", schema), scratch + "/out", scratch + "/cp")

@@ -111,3 +111,15 @@ def test_registered_forecasts_use_full_sizes(monkeypatch):
             QUERIES[f"{name}_forecast"](None, None)
     assert seen == [Y.VARIANTS] * 5
     assert Y.VARIANTS == {"A": (250, 5, 220, 12, 14), "B": (350, 4, 300, 15, 18)}
+
+
+def test_errors_are_pooled_over_the_walk_forward_folds(spark):
+    frame = Y.design(Y.with_price_targets(W.feature_frame(panel(spark, 190)))).cache()
+    data = frame.where("t_close is not null")
+    days = [r[0] for r in data.select("date").distinct().orderBy("date").collect()]
+    folds = Y.fold_dates(data)
+    step = (len(days) - 46) // 3
+    assert folds == [(days[43 + k * step], days[45 + k * step], days[44 + (k + 1) * step]) for k in (1, 2)]  # the embargo leaves the first fold too few dates
+    assert Y.fit_ensemble(frame, "t_close", sizes=Y.QUICK).samples == 3 * step * 2
+    held = Y.fit_ensemble(frame, "t_close", sizes=Y.QUICK, purged=True)
+    assert held.samples == 3 * (len(days) - int(len(days) * 0.8))

@@ -34,14 +34,16 @@ SLACK = 1e-9  # products within this of a bound are computed anew in the fixed o
 FOUND = "query_id long, vec_id long, score double"
 
 
-def usable(vectors, id_col, vec_col):
-    """(_id, _v): rows with an id and a finite, non-zero vector of the commonest length, each once."""
+def usable(vectors, id_col, vec_col, length=None):
+    """(_id, _v): rows with an id and a finite, non-zero vector of ``length``, by default the commonest, each once."""
     v = F.transform(F.col(f"`{vec_col}`"), lambda x: x.cast("double"))
     held = vectors.select(F.col(f"`{id_col}`").cast("long").alias("_id"), v.alias("_v")).where("_id is not null and _v is not null")
     finite = ~F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("_v", lambda x: x != 0)
     held = held.where(finite).dropDuplicates()
-    length = held.groupBy(F.size("_v").alias("n")).agg(F.count("*").alias("c")).agg(F.max(F.struct("c", "n")).alias("m")).select("m.n")
-    return held.where(F.size("_v") == length.scalar())
+    if length is not None:
+        return held.where(F.size("_v") == length)
+    common = held.groupBy(F.size("_v").alias("n")).agg(F.count("*").alias("c")).agg(F.max(F.struct("c", "n")).alias("m")).select("m.n")
+    return held.where(F.size("_v") == common.scalar())
 
 
 def _matrix(column):
@@ -175,7 +177,7 @@ def nearest(vectors, queries, k=20, factor=2.0, id_col="vec_id", vec_col="embedd
     trees = (kept.withColumn("shard", F.pmod(F.xxhash64("_id"), F.lit(shards))).groupBy("shard")
              .applyInArrow(_build(top, leaf), "shard long, tree binary"))
     trees = stored(trees, "trees")
-    asked = usable(queries, id_col, vec_col).where(F.size("_v") == length)
+    asked = usable(queries, id_col, vec_col, length)
     asked = stored(asked, "queries")
     blocks = max(1, -(-asked.count() // BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(blocks)))

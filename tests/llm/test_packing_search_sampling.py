@@ -120,6 +120,12 @@ def test_search_with_few_rows_repeats_and_none(spark):
     assert nearest(df, df.where("false"), k=3).count() == 0
 
 
+def test_search_takes_the_length_of_the_vectors(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(1, 8)] + [(i, [1.0, 2.0, float(i)]) for i in (20, 40, 60)]
+    df = spark.createDataFrame(rows + [(80, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert found(nearest(df, df.where("vec_id % 20 = 0"), k=2)) == {80: [(7, 7.0), (6, 6.0)]}
+
+
 def corpus_with_labels(spark):
     rng = random.Random(5)
     plain = [f"w{i}" for i in range(300)]

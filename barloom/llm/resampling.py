@@ -106,14 +106,20 @@ def _score(ratio, length):
 
 
 def _cut(keys, k):
-    """(key, id) of the k-th in descending (key, id) order, by histograms of ever smaller ranges."""
+    """(key, id) of the k-th in descending (key, id) order, by histograms of ever smaller ranges.
+
+    Rows of equal key and id are not told apart: those at the k-th place all lie at the bound.
+    """
     low, high = keys.agg(F.min("key"), F.max("key")).first()
     while True:
         own = keys.where(F.col("key").between(low, high))
         if low == high or own.count() <= NEAR:
             rows = own.select("key", "_id").orderBy(F.desc("key"), F.desc("_id")).limit(k).collect() if low < high else None
             if rows is None:  # one key: the id decides; ids are cut the same way
-                return low, _cut(own.select(F.col("_id").cast("double").alias("key"), "_id"), k)[1] if own.count() > NEAR else \
+                least, most = own.agg(F.min("_id"), F.max("_id")).first()
+                if least == most:  # rows of equal key and id stay together
+                    return low, least
+                return low, _cut(own.select((F.col("_id").cast("decimal(20,0)") - F.lit(least).cast("decimal(20,0)")).cast("double").alias("key"), "_id"), k)[1] if own.count() > NEAR else \
                     own.orderBy(F.desc("_id")).limit(k).collect()[-1]["_id"]
             return rows[-1]["key"], rows[-1]["_id"]
         step = (high - low) / BINS
@@ -132,7 +138,8 @@ def resample(docs, labels, id_col="doc_id", text_col="text", stratum="lang", k=N
     ``k`` defaults to the share of target text among the labelled documents times all documents.
     Documents without words (null, empty) have no weight and are never drawn; with fewer than k
     others all those are. Null ids can be drawn and come last among equal keys; rows with equal
-    ids get equal noise. Without labelled target text all weights are 0 and k is 0 by default.
+    ids get equal noise. Rows of equal key and id are kept or left together, so more than k are kept
+    if such rows lie across the k-th place. Without labelled target text all weights are 0 and k is 0 by default.
     """
     agreed = stored(target_labels(labels, id_col), "weights")
     n, n_good = agreed.agg(F.count("*"), F.count_if(F.col("good"))).first()

@@ -165,6 +165,13 @@ def test_cut_of_equal_keys(spark):
     assert tuple(R._cut(keys, 10)) == (1.0, 8990)
 
 
+def test_cut_of_equal_keys_and_ids(spark):
+    null = spark.range(3000).selectExpr("1.5D AS key", "-9223372036854775808L AS _id")
+    assert tuple(R._cut(null, 10)) == (1.5, -(1 << 63))
+    near = spark.range(9000).selectExpr("1.5D AS key", "9007199254740992 * 64 + id div 3000 AS _id")
+    assert tuple(R._cut(near, 4000)) == (1.5, 9007199254740992 * 64 + 1)
+
+
 def test_counts_of_all_text(spark, documents, rows):
     agreed = R.target_labels(documents.selectExpr("doc_id", "1 AS quality", "int(doc_id > 200) AS toxic"))
     ratio = R.log_ratio(documents, agreed, buckets=1 << 10, strength=0.5, errors=0.0)

@@ -191,7 +191,7 @@ CTES["holdings"] = f"""SELECT symbol||'.NS' AS ticker, CAST((n+1)*10 AS DOUBLE)
   CASE WHEN n%5=0 THEN {R('(last_close-cost)*((n+1)*10)')} END AS reported_pnl,
   CASE WHEN n%7=0 AND n%5<>0 THEN {R('(last_close/cost-1)*100')} END AS reported_return
   FROM (SELECT symbol, {_N} AS n, max(CASE WHEN k=1 THEN close END) AS last_close, max(CASE WHEN k=61 THEN close END) AS cost
-    FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM bars) GROUP BY symbol) WHERE cost IS NOT NULL"""
+    FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM bars) GROUP BY symbol)"""
 CTES["ipo"] = """SELECT '  '||p_name||'   '||p_brand||' '||p_partkey||' ' AS name_text,
   '₹'||CAST(floor(p_retailprice*0.9) AS BIGINT)||' - ₹'||CAST(floor(p_retailprice) AS BIGINT) AS price_text,
   'Rs.'||(p_size*4-50)||' (est)' AS gmp_text,

@@ -353,7 +353,7 @@ PC = "average_price current_price invested_value current_value pnl return_pct ai
 
 
 @query("portfolio_plan", f"""WITH {PLAN} SELECT stock, ticker, quantity, decision, sell_window, sell_reason, recovery_horizon_days, sell_date, {cols(PC, 4)} FROM (SELECT stock, ticker, quantity, cost AS average_price, current_price,
-  quantity*cost AS invested_value, quantity*current_price AS current_value, quantity*current_price-quantity*cost AS pnl, (quantity*current_price-quantity*cost)/nullif(quantity*cost,0)*100 AS return_pct,
+  coalesce(quantity*cost,0) AS invested_value, coalesce(quantity*current_price,0) AS current_value, coalesce(quantity*current_price,0)-coalesce(quantity*cost,0) AS pnl, (quantity*current_price-quantity*cost)/nullif(quantity*cost,0)*100 AS return_pct,
   pred_close AS ai_target, split_part(dr,'|',1) AS decision, CASE WHEN sell_status='TARGET_DATE' THEN sh||'D' WHEN split_part(dr,'|',1) IN ('SELL','REDUCE') THEN 'NOW' ELSE 'WATCH' END AS sell_window,
   cost*1.1 AS profit_target_price, coalesce(sell_target_price,pred_close) AS sell_target_price, sell_date, (pred_close/cost-1)*100 AS projected_return, (cost-current_price)/cost*100 AS recovery_gap_pct,
   {_CH('need', 'current_price>=cost')} AS recovery_probability, CAST({_REC} AS BIGINT) AS recovery_horizon_days, {_CH('needg', 'current_price>=cost*1.1')} AS profit_target_probability, split_part(dr,'|',2)||'; sell '||sell_status AS sell_reason FROM pl)""")

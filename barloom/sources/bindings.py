@@ -245,7 +245,7 @@ class Tables:
     # -- portfolio and listings ---------------------------------------------
     @cached_property
     def holdings(self):
-        """Positions; a part of them reports profit or return instead of cost."""
+        """Positions; a part of them reports profit or return instead of cost. With under 61 bars the cost is unknown."""
         w = Window.partitionBy("symbol").orderBy(F.desc("date"))
         n = F.expr("substring(symbol, 2)").cast("bigint")
         last = self.bars.select("symbol", "close", F.row_number().over(w).alias("rn")).where("rn <= 61")
@@ -253,7 +253,7 @@ class Tables:
             F.max(F.when(F.col("rn") == 1, F.col("close"))).alias("last_close"),
             F.max(F.when(F.col("rn") == 61, F.col("close"))).alias("cost"))
         q = (n + 1) * 10
-        return two.where("cost is not null").select(
+        return two.select(
             F.concat("symbol", F.lit(".NS")).alias("ticker"), q.cast("double").alias("quantity"),
             F.when((n % 5 != 0) & (n % 7 != 0), S.steady("cost")).alias("average_price"),
             F.when(n % 5 == 0, S.steady((F.col("last_close") - F.col("cost")) * q)).alias("reported_pnl"),

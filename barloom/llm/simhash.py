@@ -190,9 +190,9 @@ def near_prints(docs, id_col="doc_id", text_col="text", shingle=3, bits=3, block
     if not 0 < bits < blocks:
         raise ValueError("more blocks than bits are needed")
     signed = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = signed.where("_id is not null").groupBy("fp").agg(F.min("_id").alias("x"))
+    classes = signed.where("_id is not null").groupBy("fp").agg(F.min("_id").alias("x"), F.count("*").alias("n"))
     t0, t1 = _table(F.col("fp"))
-    prints = stored(classes.select("fp", "x", t0.alias("t0"), t1.alias("t1")), "prints")
+    prints = stored(classes.select("fp", "x", "n", t0.alias("t0"), t1.alias("t1")), "prints")
     keys = F.array(*[F.struct(F.lit(j).cast("tinyint").alias("j"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for j, m in enumerate(_masks(blocks, bits))])
     bucketed = prints.select("fp", "t0", "t1", F.explode(keys).alias("k")).select("k.j", "k.key", "fp", "t0", "t1")
     reps = bucketed.groupBy("j", "key").agg(F.min("fp").alias("rep"), F.max("fp").alias("other")).where("rep <> other")
@@ -208,6 +208,11 @@ def near_prints(docs, id_col="doc_id", text_col="text", shingle=3, bits=3, block
     grouped = prints.join(joined, prints["fp"] == joined["id"]).select("fp", "x", "component")
     least = grouped.groupBy("component").agg(F.min("x").alias("c"))
     label = grouped.join(least, "component").select("fp", "c")
-    label = prints.select("fp", "x").join(label, "fp", "left").select("fp", F.coalesce("c", "x").alias("c"))
-    out = signed.join(label, "fp", "left")
+    label = stored(prints.select("fp", "x", "n").join(label, "fp", "left").select("fp", "n", F.coalesce("c", "x").alias("c")), "labels")
+    # fingerprints of more than a share of all rows, at most 1 / share of them, do not go through the shuffle
+    share = 1 / (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    often = F.col("n") > signed.count() * share
+    known = signed.join(F.broadcast(label.where(often).select("fp", F.col("c").alias("_often"))), "fp", "left")
+    out = known.where("_often is not null").withColumn("c", F.col("_often")).unionByName(
+        known.where("_often is null").join(label.where(~often).select("fp", "c"), "fp", "left"))
     return out.select(F.col("_id").alias(id_col), F.col("fp").alias("fingerprint"), F.when(F.col("_id").isNotNull(), F.col("c")).alias("component_id"))

@@ -96,3 +96,27 @@ def test_files_with_null_and_equal_ids_and_empty(spark, empty, scratch):
     assert got == [(0, -3, 1), (1, 5, 3), (4, 5, 3), (7, None, 2)]
     assert write_tokens(empty, path, scratch + "/b", end_id=2)["parts"] == []
     assert read_tokens(spark, scratch + "/b").count() == 0
+
+
+def test_words_and_whole_texts(spark, rows, tmp_path):
+    """Byte-level definitions keep white space, so their texts are encoded whole; the word one goes word by word."""
+    from barloom.llm.token_files import by_words
+    texts = [t for _, t in rows[:60] if t] + ["Ünter, ÉTÉ. a,b x., İstanbul H̱. don't'S. «mot», ×, 3. 4,5 a b.", "a.\n", "^ a^b ♥", ".", ",", "Ångström, Ångström,"]
+    for name, split in (("word_bpe_49k.json", (True, True)), ("byte_bpe_50k.json", (False, False))):
+        definition = open(public_tokenizers.path(name), encoding="utf-8").read()
+        assert by_words(definition) == split
+        model, coder = Tokenizer.from_str(definition), Coder(definition, "<u4")
+        want = [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+        for _ in range(2):  # the second time from the words met
+            got = coder.encode([t.encode() for t in texts], b"")
+            assert [np.frombuffer(b, "<u4").tolist() for b in got] == want
+
+
+def test_words_beyond_the_store(monkeypatch):
+    from barloom.llm import token_files
+    definition = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + k % 26)} same" for k in range(i, i + 9)).encode() for i in range(40)]
+    want = token_files.Coder(definition, "<u2").encode(texts, b"")
+    monkeypatch.setattr(token_files, "KEPT", 20)
+    coder = token_files.Coder(definition, "<u2")
+    assert [b for t in texts for b in coder.encode([t], b"")] == want and len(coder.ids) < 60

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from barloom.llm.staging import stored
 
-SPLIT = "[ \\t\\n\\x0B\\f\\r]+"
+#: white space that a line can hold besides the space
+OTHER = "\t\x0b\f\r"
 MASK = (1 << 40) - 1
 
 
@@ -32,7 +33,11 @@ def _order(id_, pos):
 
 
 def _words(line):
-    return F.array_remove(F.split(line, SPLIT), "")
+    """Words of a line; a split at one character needs no regular expression, and few lines have other white space."""
+    other = F.lit(False)
+    for c in OTHER:
+        other = other | F.contains(line, F.lit(c))
+    return F.array_remove(F.split(F.when(other, F.translate(line, OTHER, " " * len(OTHER))).otherwise(line), " "), "")
 
 
 def _halves(words, n):
@@ -64,12 +69,13 @@ def _neighbours(held):
     # the line itself rides on its first word as place -1
     both = F.when(F.col("j") == 0, F.array(F.struct(F.col("j"), F.xxhash64("v1", "v2").alias("v")), F.struct(F.lit(-1).alias("j"), F.xxhash64("w1", "w2").alias("v")))
                   ).otherwise(F.array(F.struct(F.col("j"), F.xxhash64("v1", "v2").alias("v"))))
-    variants = left.select("ord", F.explode(both).alias("x")).select("ord", "x.v", "x.j")
-    group = variants.groupBy("v", "j").agg(F.min("ord").alias("first"), F.count("*").alias("c"))
+    variants = left.select("ord", F.explode(both).alias("x")).select("ord", "x.v", "x.j").where("v is not null and j is not null")
+    group = variants.groupBy("v", "j").agg(F.min("ord").alias("first"), F.count("ord").alias("c"))
     key = group.groupBy("v").agg(F.min(F.when(F.col("j") < 0, F.col("first"))).alias("of_whole"), F.min(F.when(F.col("j") >= 0, F.col("first"))).alias("of_cut"),
                                  F.max(F.when(F.col("j") >= 0, F.col("c"))).alias("c")).where("c > 1 or (of_whole is not null and of_cut is not null)")
     # of lines with the same place left out, and of lines one shorter or longer
-    met = variants.join(key.select("v", "of_whole", "of_cut"), "v").join(group.select("v", "j", "first"), ["v", "j"])
+    # the count is always positive; it is named so that both readings of the groups share one exchange
+    met = variants.join(key.select("v", "of_whole", "of_cut"), "v").join(group.where("c > 0").select("v", "j", "first"), ["v", "j"])
     partner = F.least(F.when(F.col("j") < 0, F.col("of_cut")).otherwise(F.col("of_whole")), F.when(F.col("j") >= 0, F.col("first")))
     return met.select("ord", partner.alias("partner")).where("partner < ord").groupBy("ord").agg(F.min("partner").alias("partner"))
 
@@ -101,8 +107,8 @@ def drop_lines(docs, id_col="doc_id", text_col="text", same_words=3, near_words=
     base = base.withColumn("_k1", F.xxhash64(id_, text)).withColumn("_k2", F.xxhash64(F.lit(1), id_, text))
     cut = base.select(id_.alias("_id"), "_k1", "_k2", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     seen = cut.select("_id", "_k1", "_k2", "pos", _words(F.col("line")).alias("w")).where(F.size("w") >= same_words)
-    joined, n = F.concat_ws(" ", "w"), F.size("w")
-    lines = stored(seen.select("_id", "_k1", "_k2", "pos", F.xxhash64(joined).alias("h1"), F.xxhash64(F.lit(1), joined).alias("h2"),
+    n = F.size("w")
+    lines = stored(seen.select("_id", "_k1", "_k2", "pos", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"),
                                F.when(n >= near_words, _halves(F.col("w"), n)).alias("ends")), "lines")
     chosen = _candidates(lines)
     lines = lines.select("_k1", "_k2", "pos", "h1", "h2", _order(F.col("_id"), F.col("pos")).alias("ord"))
@@ -118,8 +124,12 @@ def drop_lines(docs, id_col="doc_id", text_col="text", same_words=3, near_words=
     # always the text; it names every column, so that this reading of the texts and the last share one exchange
     whole = F.when(F.size(F.array(F.xxhash64(*base.columns))) == 1, text)
     held = (dealt.join(spots, ["_k1", "_k2"]).select("_k1", "_k2", F.split(whole, "\n").alias("l"), F.explode("s").alias("s"))
-            .select("_k1", "_k2", "s.pos", "s.ord", _words(F.col("l")[F.col("s.pos")]).alias("w")).dropDuplicates(["ord"]))
-    held = held.select("ord", F.size("w").alias("n"), "w", "_k1", "_k2", "pos")
+            .select("_k1", "_k2", "s.pos", "s.ord", _words(F.col("l")[F.col("s.pos")]).alias("w")).where("ord is not null"))
+    # one of equal rows
+    held = held.withColumn("_r", F.row_number().over(Window.partitionBy("ord").orderBy("pos"))).where("_r = 1")
+    # the words name every column, so that all readings of these lines share one exchange
+    words = F.when(F.size(F.array(F.xxhash64("ord", "_k1", "_k2", "pos"))) == 1, F.col("w"))
+    held = held.select("ord", F.size("w").alias("n"), words.alias("w"), "_k1", "_k2", "pos")
     near = _neighbours(held)
     near = (near.join(held.select("ord", "_k1", "_k2", "pos", F.col("w").alias("_a")), "ord")
             .join(held.select(F.col("ord").alias("partner"), F.col("w").alias("_b")), "partner").where(_within_one(F.col("_a"), F.col("_b"))))

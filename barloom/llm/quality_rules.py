@@ -55,12 +55,15 @@ def with_statistics(docs, text_col="text"):
     """docs with the columns of ``STATS`` (long) for each whole text; they replace columns of these names.
 
     Words are runs of characters other than space and \\t \\n \\v \\f \\r; lines are split at \\n
-    and count if they have a word. Null counts as the empty text: all statistics are 0.
+    and count if they have a word. Null counts as the empty text: all statistics are 0. Rows are
+    treated one by one, so repeated rows are nothing special; other columns keep their names,
+    whatever they are. An empty table gives an empty table.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANK, "")) > 0)
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in STATS]
-    held = docs.select(*kept, text.alias("_t"), lines.alias("_l"), F.array_remove(F.split(text, "[ \\t\\n\\x0B\\f\\r]+"), "").alias("_w"))
+    names = [c for c in docs.columns if c not in STATS]
+    kept = [f"_c{i}" for i in range(len(names))]
+    held = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, kept)], text.alias("_t"), lines.alias("_l"), F.array_remove(F.split(text, "[ \\t\\n\\x0B\\f\\r]+"), "").alias("_w"))
     n = F.greatest(F.size("_w") - 2, F.lit(0))
     windows = F.transform(F.arrays_zip(F.slice("_w", 1, n).alias("a"), F.slice("_w", F.lit(2), n).alias("b"), F.slice("_w", F.lit(3), n).alias("c")),
                           lambda x: F.xxhash64(x["a"], x["b"], x["c"]))
@@ -71,7 +74,7 @@ def with_statistics(docs, text_col="text"):
         F.size("_l").cast("long").alias("n_lines"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         _repeated_words(F.col("_h")).alias("n_repeat_words"))
     # one row from one: a later filter on the statistics is not pushed below, where each use would compute them again
-    return held.select(*kept, F.explode(F.array(statistics)).alias("_x")).select(*kept, "_x.*")
+    return held.select(*kept, F.explode(F.array(statistics)).alias("_x")).select(*[F.col(k).alias(c) for c, k in zip(names, kept)], "_x.*")
 
 
 def base_failed():
@@ -102,8 +105,9 @@ def certified_cutoffs(stats, labels, stratum="lang", id_col="doc_id", loss=0.05,
 
     ``labels`` has ``id_col`` and ``quality`` (1 good, 0 bad); a document with several labels is
     good only if all say so, and null ids or labels are left out. A null stratum is the stratum ''.
-    Only documents that pass the base tests count. The binomial sums take as many steps as good
-    documents may be lost in a stratum.
+    Only documents that pass the base tests count. Rows of stats with equal ids each count with their
+    id's label. The binomial sums take as many steps as good documents may be lost in a stratum.
+    No labels or no documents give an empty table; other columns are not read.
     """
     labels = labels.where(f"`{id_col}` is not null and quality is not null").groupBy(id_col).agg(F.min("quality").alias("_q"))
     held = (stats.where(~base_failed()).select(id_col, F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"),
@@ -128,13 +132,20 @@ def certified_cutoffs(stats, labels, stratum="lang", id_col="doc_id", loss=0.05,
 
 
 def judge(stats, cutoffs, stratum="lang"):
-    """stats with ``base_failed`` and ``kept``; cutoffs: a stored result of certified_cutoffs."""
+    """stats with ``base_failed`` and ``kept``; cutoffs: a stored result of certified_cutoffs.
+
+    A null stratum has the cutoffs of the stratum ''; without cutoffs only the base tests count.
+    Repeated rows are judged alike, columns of these two names are replaced, others keep their
+    names, whatever they are. An empty table gives an empty table.
+    """
     wide = cutoffs.groupBy(F.col("stratum").alias("_s")).agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in RULES])
     if wide.count() <= BROADCAST_ROWS:  # as many rows as certified strata
         wide = F.broadcast(wide)
+    names = [c for c in stats.columns if c not in ("base_failed", "kept")]
+    held = stats.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)], base_failed().alias("_failed"),
+                        F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("")).alias("_k"), *[_statistic(r).alias(f"_of_{r}") for r in RULES])
     failed = F.lit(False)
     for r in RULES:
-        failed = failed | F.coalesce(_statistic(r) > F.col(f"_cut_{r}"), F.lit(False))
-    joined = stats.withColumn("_k", F.coalesce(F.col(stratum).cast("string"), F.lit(""))).join(wide, F.col("_k") == F.col("_s"), "left")
-    out = [F.col(f"`{c}`") for c in stats.columns if c not in ("base_failed", "kept")]
-    return joined.select(*out, base_failed().alias("base_failed"), (~base_failed() & ~failed).alias("kept"))
+        failed = failed | F.coalesce(F.col(f"_of_{r}") > F.col(f"_cut_{r}"), F.lit(False))
+    joined = held.join(wide, F.col("_k") == F.col("_s"), "left")
+    return joined.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], F.col("_failed").alias("base_failed"), (~F.col("_failed") & ~failed).alias("kept"))

@@ -67,8 +67,8 @@ def place(docs, table, size, key_col="doc_id"):
     names = [c for c in docs.columns if c not in ("slot", "shard")]
     key = _hash(F.coalesce(F.col(f"`{key_col}`").cast("string"), F.lit("null"))) % size
     slots = F.broadcast(table.select(F.col("slot").alias("_slot"), "shard"))
-    return (docs.select(*[F.col(f"`{c}`") for c in names], key.alias("slot"))
-            .join(slots, F.col("slot") == F.col("_slot"), "left").drop("_slot"))
+    placed = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)], key.alias("slot")).join(slots, F.col("slot") == F.col("_slot"), "left")
+    return placed.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], "slot", "shard")
 
 
 def moved(before, after):

@@ -83,3 +83,17 @@ def test_placement_and_moves(spark, documents, empty):
     assert none.count() == 0 and place(documents, none, size).where("shard is not null").count() == 0
     with pytest.raises(ValueError):
         lookup_table(spark.createDataFrame([], "shard string"), 100)
+
+
+def test_clashing_names(spark, documents):
+    """Columns that the operators name so themselves are kept."""
+    own = ("_t", "_l", "_w", "_x", "_h", "_s", "_k", "_cut_symbols", "_slot", "_c0", "_failed")
+    docs = documents.select("doc_id", "text", "lang", *[F.lit(f"own{c}").alias(c) for c in own])
+    labels = documents.selectExpr("doc_id", "int(doc_id % 4 > 0) quality")
+    stats = Q.with_statistics(docs)
+    judged = Q.judge(stats, Q.certified_cutoffs(stats, labels))
+    placed = place(docs, spark.createDataFrame([(0, "a"), (1, "b")], "slot long, shard string"), 2)
+    for frame in (judged, placed):
+        assert frame.select(*own).distinct().collect() == [tuple(f"own{c}" for c in own)] and frame.count() == docs.count()
+    assert placed.where("shard is null").count() == 0
+    assert Q.judge(Q.with_statistics(docs.where("false")), Q.certified_cutoffs(stats, labels.where("false"))).count() == 0

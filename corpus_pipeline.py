@@ -26,8 +26,7 @@ def _rewritten(done):
 
 def quality_rules(spark, docs, sf_dir):
     """Documents that pass the base tests and the certified rules."""
-    docs = docs.select(*COLUMNS)
-    stats = with_statistics(docs)
+    stats = stored(with_statistics(docs.select(*COLUMNS)), "rules")
     cutoffs = stored(certified_cutoffs(stats, table(spark, sf_dir, "labels")), "rules")
     return judge(stats, cutoffs).where("kept").select(*COLUMNS)
 
@@ -39,7 +38,7 @@ def line_dedup(spark, docs, sf_dir):
 
 def near_dedup(spark, docs, sf_dir):
     """The document of the least id of each group that shares 80 % of its runs of five words."""
-    groups = near_duplicates(docs, shingle=5, percent=80)
+    groups = near_duplicates(docs, shingle=5, percent=80, tables=14)
     return docs.select(*COLUMNS).join(groups.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -33,14 +33,17 @@ def strictly_eligible():
 
 
 def top_of_first_tier(df, tier, n, bucket="price_bucket"):
-    """The n best of each bucket among the rows of the least tier that has any.
+    """The n best of each bucket, or all, among the rows of the least tier that has any.
 
     Ranks are taken inside (bucket, tier), so the input is worked out once and the tier
     is chosen on the n rows per bucket and tier that are left.
     """
     w = Window.partitionBy(bucket, "_tier").orderBy(*rank_order())
     ranked = df.withColumn("_tier", tier).where("_tier is not null")
-    short = ranked.withColumn("bucket_rank", F.row_number().over(w)).where(F.col("bucket_rank") <= n)
+    short = ranked.withColumn("bucket_rank", F.row_number().over(w))
+    if n is None:  # nothing bounds what is left, so the tier comes in as a scalar
+        return short.where(F.col("_tier") == ranked.agg(F.min("_tier")).scalar())
+    short = short.where(F.col("bucket_rank") <= n)
     least = F.min("_tier").over(Window.partitionBy())  # over n rows per bucket and tier
     return short.withColumn("_least", least).where("_tier = _least").drop("_least")
 
@@ -77,10 +80,10 @@ def diversified_top(df, n=K.TOP_N, per_bucket=K.MAX_PER_BUCKET):
 
 
 def select_top(scored, n=K.TOP_N, min_score=65.0, min_confidence=60.0, min_trade_confidence=60.0, per_bucket=K.MAX_PER_BUCKET):
-    """Qualified candidates: thresholds, cascade, cap per bucket, optional n."""
+    """Qualified candidates: thresholds, cascade, cap per bucket, n rows; None leaves out the cap or the limit."""
     base = scored.where((F.col("score") >= min_score) & (F.col("confidence") >= min_confidence)
                         & (F.col("trade_confidence") >= min_trade_confidence) & (F.col("direction_return_alignment") >= 60))
-    out = top_of_first_tier(base, selection_tier(), per_bucket).withColumn("selection_tier", F.col("_tier").cast("bigint")).drop("_tier")
+    out = top_of_first_tier(base, selection_tier(), per_bucket or n).withColumn("selection_tier", F.col("_tier").cast("bigint")).drop("_tier")
     return out.orderBy("price_bucket", "bucket_rank").limit(n) if n else out
 
 

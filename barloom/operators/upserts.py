@@ -2,17 +2,39 @@
 from functools import reduce
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: types that a hash aggregate holds in place
+FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _fixed_order(df, cols, order):
+    """The order as a column of a hash aggregate if there is one, null lowest; else None."""
+    kinds = {f.name: f for f in df.schema}
+    if len(order) != 1 or not all(isinstance(kinds[c].dataType, FIXED) for c in cols):
+        return None
+    only = kinds[order[0]]
+    if not only.nullable:
+        return F.col(only.name)
+    if isinstance(only.dataType, T.DecimalType):
+        return F.coalesce(only.name, F.lit("-" + "9" * (only.dataType.precision - only.dataType.scale)).cast(only.dataType))
+    return None
 
 
 def keep_last(df, keys, order, drop_order=True):
     """One row per key, the one with the largest ``order``.
 
     A grouped max_by combines on the map side, so a key with very many copies is
-    reduced before the shuffle.
+    reduced before the shuffle. With one order column and all columns of fixed width the
+    buffers are too, and nothing is sorted; equal orders then agree on one row, as every
+    column is chosen by the same comparisons.
     """
     cols = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r"))
     out = [c for c in cols if not (drop_order and c in order and c.startswith("_"))]
+    by = _fixed_order(df, cols, order)
+    if by is not None:
+        return df.groupBy(*keys).agg(*[F.max_by(c, by).alias(c) for c in out])
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r"))
     return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in out])
 
 

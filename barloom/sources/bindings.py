@@ -28,6 +28,16 @@ def order_key(major, minor, width):
     return F.expr(f"cast({major} as decimal(20,0)) * {10 ** width}BD + cast({minor} as decimal({width},0))")
 
 
+def raw_order():
+    """One number that sorts raw rows by order, line, part, price, quantity, discount and tax.
+
+    Room: parts below 10**10, prices below 10**6, quantities, discounts and taxes in two digits.
+    """
+    return F.expr("""cast(l_orderkey * 8 + l_linenumber as decimal(14,0)) * 1000000000000000000000000BD
+        + cast(l_partkey * 100000000 + cast(round(l_extendedprice * 100) as bigint) as decimal(18,0)) * 1000000BD
+        + cast(l_quantity * 10000 + round(l_discount * 100) * 100 + round(l_tax * 100) as decimal(6,0))""")
+
+
 class Tables:
     """Lazily built DataFrames over one directory of parquet files."""
 
@@ -85,8 +95,7 @@ class Tables:
             F.when((broken == 5) & (F.col("l_discount") == 0), "Infinity")
             .when((broken == 4) & (F.col("l_discount") > 0.09), "-1")
             .otherwise(F.col("l_quantity").cast("string")).alias("volume"),
-            F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
-                     "l_quantity", "l_discount", "l_tax").alias("seq"))
+            raw_order().alias("seq"))
 
     @cached_property
     def intraday(self):

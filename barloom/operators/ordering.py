@@ -9,6 +9,7 @@ bin are ordered by a task.
 from pyspark.sql import Window, functions as F
 
 from barloom.functions.scalars import col
+from barloom.session import stored
 
 
 def log_bin(v, per_octave=256):
@@ -48,7 +49,11 @@ def group_median(df, group, value, name):
 
 
 def with_group_rank(df, group, value):
-    """Competition rank (1 = largest), group size and percentile of every row."""
+    """Competition rank (1 = largest), group size and percentile of every row.
+
+    df is worked out once and stored: its groups are counted, binned and joined back.
+    """
+    df = stored(df, "ranked")
     pos = value_positions(df, group, value).select(
         *group, value, (F.col("_total") - F.col("_below") - F.col("_n") + 1).alias("rank"))
     sizes = df.groupBy(*group).agg(F.count("*").alias("group_count"))
@@ -57,33 +62,34 @@ def with_group_rank(df, group, value):
         F.col("group_count"), F.lit(1))) * 100)
 
 
-def number_rows(df, key, name="position", bins=64, sample_rows=5000):
-    """Zero-based position of each row in the order of a unique key.
+def _numbered(df, key, parts):
+    """(rows with ``_position``, ``_total``) in the order of a unique key.
 
-    Bin edges are a bounded sample of keys (at most ``sample_rows`` on the
-    driver); they only steer the split, positions are exact for any edges.
+    Rows are dealt by ranges of the key, sorted inside them and stored; a row's number in its
+    range comes with its partition, and the sums of the ranges before it, one row per
+    range, are the offsets. Nothing passes through the driver, and a range is as large as
+    the number of partitions makes it.
     """
-    total = df.count()
-    fraction = min(1.0, sample_rows / max(total, 1))
-    keys = sorted(r[0] for r in df.select(key).sample(fraction=fraction, seed=7).limit(2 * sample_rows).collect())
-    edges = sorted({keys[i * len(keys) // bins] for i in range(1, bins)}) if len(keys) > bins else []
-    if edges:
-        edge_list = F.array(*[F.lit(e) for e in edges])
-        binned = df.withColumn("_bin", F.size(F.filter(edge_list, lambda e: e <= F.col(key))))
-    else:
-        binned = df.withColumn("_bin", F.lit(0))
-    per_bin = binned.groupBy("_bin").agg(F.count("*").alias("_n"))
-    w = Window.orderBy("_bin")  # at most ``bins`` rows
-    base = per_bin.select("_bin", (F.sum("_n").over(w) - F.col("_n")).alias("_base"))
-    inside = Window.partitionBy("_bin").orderBy(key)
-    return (binned.join(base, "_bin").withColumn(
-        name, F.col("_base") + F.row_number().over(inside) - 1).drop("_bin", "_base"))
-
-
-def even_sample(df, key, n):
-    """n rows spread evenly over the key order (first and last included)."""
-    total = df.count()
-    if total <= n:
-        return df.select(key)
-    wanted = [round(i * (total - 1) / (n - 1)) for i in range(n)]
-    return number_rows(df.select(key), key).where(F.col("position").isin(wanted)).select(key)
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, key).sortWithinPartitions(key).withColumn("_m", F.monotonically_increasing_id())
+    dealt = stored(dealt.withColumns({"_range": F.shiftright("_m", 33), "_inside": F.col("_m").bitwiseAND((1 << 33) - 1)}).drop("_m"), "numbered")
+    whole = Window.orderBy("_range")  # one row per range
+    ranges = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    ranges = ranges.select("_range", (F.sum("_n").over(whole) - F.col("_n")).alias("_base"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    return dealt.join(ranges, "_range").withColumn("_position", F.col("_base") + F.col("_inside")).drop("_range", "_inside", "_base")
+
+
+def number_rows(df, key, name="position", parts=None):
+    """Zero-based position of each row in the order of a unique key."""
+    return _numbered(df, key, parts).withColumnRenamed("_position", name).drop("_total")
+
+
+def even_sample(df, key, n, parts=None):
+    """n rows spread evenly over the key order (first and last included); all if there are no more."""
+    rows = _numbered(df.select(key), key, parts)
+    last, spot = F.greatest(F.col("_total") - 1, F.lit(1)), F.col("_position")
+    near = F.floor(spot * (n - 1) / last)
+    chosen = F.lit(False)
+    for i in (near - 1, near, near + 1):  # the i-th of n is at the rounded multiple of (total - 1) / (n - 1)
+        chosen = chosen | ((i >= 0) & (i < n) & (F.bround(i * (F.col("_total") - 1) / max(n - 1, 1), 0) == spot))
+    return rows.where((F.col("_total") <= n) | chosen).select(key)

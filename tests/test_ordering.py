@@ -27,10 +27,14 @@ def test_positions_and_even_sample(spark):
     keys = [f"k{i:04d}" for i in range(500)]
     random.Random(1).shuffle(keys)
     df = spark.createDataFrame([(k,) for k in keys], "k string")
-    got = {r["k"]: r["position"] for r in O.number_rows(df, "k", sample_rows=100).collect()}
+    got = {r["k"]: r["position"] for r in O.number_rows(df, "k", parts=7).collect()}
     assert got == {k: i for i, k in enumerate(sorted(keys))}
     want = {sorted(keys)[round(i * 499 / 9)] for i in range(10)}
     assert {r["k"] for r in O.even_sample(df, "k", 10).collect()} == want
+    for total, n in ((500, 499), (500, 500), (500, 600), (37, 9), (12, 1), (1, 1), (0, 3)):
+        want = [] if not total else sorted(keys)[:total] if total <= n else [sorted(keys)[p] for p in {round(i * (total - 1) / max(n - 1, 1)) for i in range(n)}]
+        part = df.where(F.col("k").isin(sorted(keys)[:total]))
+        assert sorted(r["k"] for r in O.even_sample(part, "k", n, parts=3).collect()) == sorted(want)
 
 
 COLS = ("symbol string, price_bucket string, trade_confidence double, score double, confidence double, direction_confidence double, "

@@ -145,7 +145,7 @@ def _send_windows(window, block, buckets):
             at, h = w.window(window)
             near = (hit[at + window - block + 1] > hit[at]) & (ids[w.lo + w.doc[at]] != ABSENT)
             first.append(h[near])
-            second.append((w.window(window, 1)[1][near] >> U(32)).astype(np.uint32))
+            second.append((w.second_window(window)[near] >> U(32)).astype(np.uint32))
             doc.append(ids[w.lo + w.doc[at[near]]])
         first, second, doc = np.concatenate(first), np.concatenate(second), np.concatenate(doc)
         order = np.lexsort((doc, second, first))
@@ -199,7 +199,7 @@ def _covered(window):
         for w in W.chunks(docs["_text"]):
             at, h = w.window(window)
             first.append(h)
-            second.append(w.window(window, 1)[1])
+            second.append(w.second_window(window))
             doc.append(ids[w.lo + w.doc[at]])
         first, second, doc = np.concatenate(first), np.concatenate(second), np.concatenate(doc)
         order = np.lexsort((doc, second, first))

@@ -5,7 +5,9 @@ ASCII, so UTF-8 text can be cut on bytes. A batch is worked off in chunks of abo
 ``CHUNK`` bytes (a longer document is a chunk of its own), which bounds the memory
 of a task. Hashes are polynomials modulo 2**64 with odd bases: prefix sums give the
 hash of any run of bytes or words by one subtraction and a product with the inverse
-power, and a final mix spreads the bits.
+power, and a final mix spreads the bits. A second family, for those who need more than 64
+bits, is no function of the first: its word hash is a sum of mixed (byte, place in the word)
+and its windows have another base.
 """
 import sys
 
@@ -20,6 +22,7 @@ CHUNK = 1 << 20
 U = np.uint64
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD6E8FEB86659FD93
+SECOND_SALT, SECOND_BASE = 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -71,7 +74,7 @@ class Words:
         total = np.zeros(n + 1, U)
         np.cumsum((self.data.astype(U) + U(1)) * power, out=total[1:])
         self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start]) if n else np.zeros(0, U)
-        self._sum = None
+        self._sum = self._second = None
 
     def window(self, k, salt=0):
         """(starts, hashes) of all windows of k words that stay inside one document."""
@@ -85,6 +88,22 @@ class Words:
         at = np.flatnonzero(self.doc[:m - k + 1] == self.doc[k - 1:])
         return at, mix((self._sum[at + k] - self._sum[at]) * inverse[at], salt)
 
+    def second_window(self, k):
+        """Hashes of the second family of the windows of ``window(k)``, in the same order."""
+        m, n = len(self.hash), len(self.data)
+        if m < k:
+            return np.zeros(0, U)
+        power, inverse = powers(SECOND_BASE, m)
+        if self._second is None:
+            place = np.arange(n)
+            place[self.start[0]:] -= np.repeat(self.start, np.diff(np.append(self.start, n)))
+            total = np.zeros(n + 1, U)
+            np.cumsum(mix((self.data.astype(U) | (place.astype(U) << U(8))) + U(SECOND_SALT)), out=total[1:])
+            self._second = np.zeros(m + 1, U)
+            np.cumsum(mix(total[self.end] - total[self.start]) * power, out=self._second[1:])
+        at = np.flatnonzero(self.doc[:m - k + 1] == self.doc[k - 1:])
+        return mix((self._second[at + k] - self._second[at]) * inverse[at])
+
     def sequence(self, doc):
         """Hash of all words of one document (by its index in the chunk)."""
         a, b = self.bounds[doc], self.bounds[doc + 1]

@@ -79,3 +79,36 @@ def test_substring_query(spark, sf_dir, rows):
     want = brute.removed_words(rows)
     got = {r.doc_id: r.kept_sha256 for r in op6_substring_dedup(spark, sf_dir).collect()}
     assert got == {i: hashlib.sha256(b" ".join(w for w, g in zip(brute.words(t), want[i]) if not g)).hexdigest() for i, t in rows}
+
+
+def test_second_hash_is_no_function_of_the_first():
+    """A word of 1024 bytes and its mirror image agree in the first family only; equal windows agree in both."""
+    import numpy as np
+    import pyarrow as pa
+    from barloom.llm import wordcols as W
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    mirror = word.translate(str.maketrans("ab", "ba"))
+    texts = [f"x {word} y z", f"x {mirror} y z", f" x\n{word} y", "", "x"]
+    for size in (1, 1 << 20):
+        chunks = list(W.chunks(pa.array(texts), size=size))
+        first, second = (np.concatenate(h) for h in zip(*[(w.window(3)[1], w.second_window(3)) for w in chunks]))
+        assert len(first) == len(second) == 5 and first[0] == first[2] == first[4] and second[0] == second[4] != second[2]
+
+
+def test_large_chunks_and_small_ones(spark, monkeypatch):
+    """A text beyond the size of a chunk, and chunks of a few bytes, give what one chunk gives."""
+    import numpy as np
+    import pyarrow as pa
+    from barloom.llm import wordcols as W
+    rng = np.random.default_rng(1)
+    long = " ".join(rng.integers(0, 5000, 700_000).astype(str).tolist())
+    assert len(long) > 3 * W.CHUNK
+    texts = ["a b c d", long, None, "b c d e"]
+    parts = {size: [(w.lo + w.doc[at], h, w.second_window(3)) for w in W.chunks(pa.array(texts), size=size) for at, h in [w.window(3)]]
+             for size in (5, W.CHUNK, 1 << 30)}
+    whole = {size: [np.concatenate(x) for x in zip(*p)] for size, p in parts.items()}
+    for size in (5, W.CHUNK):
+        assert all((a == b).all() for a, b in zip(whole[size], whole[1 << 30]))
+    assert len(whole[5][0]) == 2 + 2 + 699_998

@@ -100,8 +100,8 @@ def confirm_target(df, minimum=K.TARGET_PROFIT_PCT):
     low = F.array_min(F.transform("_ok", lambda p: p["v"]))
     yes = F.size("_ok") > 0
     return df.withColumns({
-        "target_pct": F.when(F.size("_l") == 0, minimum).when(yes, F.round(F.greatest(low, F.lit(minimum)), 2))
-        .otherwise(F.round(F.when(top >= minimum, minimum).otherwise(F.greatest(top, F.lit(0.0))), 2)),
+        "target_pct": F.when(F.size("_l") == 0, minimum).when(yes, S.half_away(F.greatest(low, F.lit(minimum)), 2))
+        .otherwise(S.half_away(F.when(top >= minimum, minimum).otherwise(F.greatest(top, F.lit(0.0))), 2)),
         "target_status": F.when(F.size("_l") == 0, "NO_LONG_HORIZON_EVIDENCE").when(yes, "MULTI_HORIZON_CONFIRMED")
         .otherwise("SINGLE_HORIZON_OR_INCONSISTENT"),
         "confirmed_horizons": F.transform("_ok", lambda p: p["h"])}).drop("_l", "_ok")

@@ -142,7 +142,7 @@ def _(t):
   count(*) OVER (PARTITION BY price_bucket) AS group_count, {R('(1-(rank() OVER (PARTITION BY price_bucket ORDER BY c DESC)-1)/CAST(count(*) OVER (PARTITION BY price_bucket) AS DOUBLE))*100', 4)} AS percentile
   FROM (SELECT *, round(prediction_confidence,2) AS c FROM evaluation)""")
 def _(t):
-    x = t.evaluation.select("symbol", "market_date", "price_bucket", F.round("prediction_confidence", 2).alias("c"))
+    x = t.evaluation.select("symbol", "market_date", "price_bucket", S.half_away("prediction_confidence", 2).alias("c"))
     return r4(M.cross_section_rank(x, "c").drop("c"))
 
 

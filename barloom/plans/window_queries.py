@@ -43,7 +43,7 @@ SUPC = list(FEATURES) + [f"target_{c}" for c in OHLCV] + ["target_return"]
 
 @query("supervised_frame", f"SELECT symbol, date, direction_class, {cols(SUPC, 4)} FROM ({SUP})")
 def _(t):
-    return r4(W.supervised_frame(t.features, "1999-06-01"))
+    return r4(W.supervised_frame(t.labelled(), "1999-06-01"))
 
 
 def _audit(where):
@@ -57,13 +57,15 @@ def _audit(where):
 
 @query("leakage_audit", _audit("WHERE tgt<DATE '1999-06-01'"))
 def _(t):
-    frame = W.purged(W.supervised_frame(t.features, "1999-06-01"), "1999-06-01", 5, t.features)
-    return W.leakage_audit(frame, "1999-06-01", 5, panel=t.features)
+    labelled = t.labelled((5,))
+    frame = W.purged(W.supervised_frame(labelled, "1999-06-01"), "1999-06-01", 5, labelled)
+    return W.leakage_audit(frame, "1999-06-01", 5, panel=labelled)
 
 
 @query("leakage_audit_unpurged", _audit(""))
 def _(t):
-    return W.leakage_audit(W.supervised_frame(t.features, "1999-06-01"), "1999-06-01", 5, panel=t.features)
+    labelled = t.labelled((5,))
+    return W.leakage_audit(W.supervised_frame(labelled, "1999-06-01"), "1999-06-01", 5, panel=labelled)
 
 
 _HT = ", ".join(f"{R(lead('close', h), 4)} AS target_close_{h}d, {R(f'({lead(chr(99) + chr(108) + chr(111) + chr(115) + chr(101), h)}/nullif(close,0)-1)*100', 4)} AS target_return_{h}d" for h in H)

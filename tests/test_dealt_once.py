@@ -4,8 +4,9 @@ import re
 import pytest
 from pyspark.sql import Window, functions as F
 
+from barloom import constants as K
 from barloom.functions.rolling import series
-from barloom.operators import features as W, market as M
+from barloom.operators import features as W, joins as J, market as M
 from barloom.sources.bindings import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +47,17 @@ def test_latest_predictions_are_the_last_of_the_ledger(spark):
     assert got and got == sorted(map(str, want.collect()))
     # six bars a symbol are all that the wide windows see
     assert len(re.findall(r"\+- Window \[", plan(t.latest_predictions))) == len(re.findall(r"\+- Window \[", plan(want))) + 2
+
+
+def test_recent_index_bars_are_the_last_index_bars(spark, tables):
+    want = tables.index_bars.orderBy(F.desc("date")).limit(6).collect()
+    assert len(want) == 6 and sorted(map(str, tables.recent_index_bars(6).collect())) == sorted(map(str, want))
+    assert M.recent_return(tables.recent_index_bars(6)).collect() == M.recent_return(tables.index_bars).collect()
+
+
+def test_a_single_horizon_is_not_unfolded(tables):
+    first = tables.followed.withColumn("ahead", F.array(F.col("ahead")[K.HORIZONS.index(1)]))
+    one = J.horizon_errors(first, (1,))
+    assert "Generate" not in plan(one) and "Generate" in plan(tables.horizon_evaluation)
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert rows(one) == rows(tables.horizon_evaluation.where("horizon_days = 1")) != []
